@@ -1,6 +1,9 @@
 """The corpus queries and their SQL."""
 
-from . import line_rules
+from . import license_scan, line_rules
 
-QUERIES = {"op1_line_rules": line_rules.op1_line_rules}
-ORACLES = {"op1_line_rules": line_rules.OP1_SQL}
+QUERIES = {
+    "op1_line_rules": line_rules.op1_line_rules,
+    "op3_license_scan": license_scan.op3_license_scan,
+}
+ORACLES = {"op1_line_rules": line_rules.OP1_SQL, "op3_license_scan": license_scan.OP3_SQL}
