@@ -1,9 +1,10 @@
 """The corpus queries and their SQL."""
 
-from . import license_scan, line_rules
+from . import license_scan, line_rules, mixing
 
 QUERIES = {
     "op1_line_rules": line_rules.op1_line_rules,
     "op3_license_scan": license_scan.op3_license_scan,
+    "op4_source_mix": mixing.op4_source_mix,
 }
 ORACLES = {"op1_line_rules": line_rules.OP1_SQL, "op3_license_scan": license_scan.OP3_SQL}
