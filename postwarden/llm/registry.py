@@ -1,15 +1,17 @@
 """The corpus queries and their SQL."""
 
-from . import license_scan, line_rules, mixing, near_dedup
+from . import license_scan, line_rules, mixing, near_dedup, substring_dedup
 
 QUERIES = {
     "op1_line_rules": line_rules.op1_line_rules,
     "op3_license_scan": license_scan.op3_license_scan,
     "op4_source_mix": mixing.op4_source_mix,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_near_dedup": near_dedup.op6_near_dedup,
 }
 ORACLES = {
     "op1_line_rules": line_rules.OP1_SQL,
     "op3_license_scan": license_scan.OP3_SQL,
+    "op5_substring_dedup": substring_dedup.OP5_SQL,
     "op6_near_dedup": near_dedup.OP6_SQL,
 }
