@@ -7,10 +7,10 @@ make the candidate buckets; at Jaccard 0.8 a pair misses all buckets with a chan
 (1 - 0.8**5)**40, 1.3e-7.
 
 Documents with the same set are one class, named by its smallest doc_id; only classes go on.
-Inside a bucket no pairs are listed. In each round the smallest members of a bucket are its
-pivots (one, then two, four, ...), compared with all other members on their full sets; pivots
-then leave, and a bucket ends when all that remain are in one component of the links found
-so far. So each pair in a bucket is either compared or known to be connected, and a group of
+Inside a bucket no pairs are listed. In the first round the smallest member of a bucket is its
+pivot, in later rounds a seeded choice of some PIVOTS members more each time; pivots are
+compared with all other members on their full sets and leave, and a bucket ends when all that
+remain are in one component of the links found so far. So each pair in a bucket is either compared or known to be connected, and a group of
 thousands of mutual near copies costs one comparison a member.
 
 Defined cases: a null text and a text without words have the empty set, linked with nothing;
@@ -35,6 +35,8 @@ from .hashing import WordHashes, mixed, windows
 PLACES = 1 << 20
 ROWS, BANDS = 5, 40
 PERCENT = 80
+#: Members of a bucket that a round after the first compares with all others.
+PIVOTS = 64
 
 
 def shingle_set(text: str | None, hashes: WordHashes, width: int) -> np.ndarray:
@@ -137,32 +139,25 @@ def link_classes(docs: DataFrame, classes: DataFrame, width: int, percent: int)
     sets = stored(texts.mapInArrow(_sets(width), "id long, set binary"))
     spark = docs.sparkSession
     done = spark.createDataFrame([], "a long, b long, linked boolean")
-    labels, pivots = spark.createDataFrame([], "node long, label long"), 1
+    labels, n_links, most = spark.createDataFrame([], "node long, label long"), 0, 1
     while not open_.isEmpty():
-        # the next pivots of each bucket, found by repeated partial minima, so that no bucket is sorted in one task
-        rest, first = open_, None
-        for _ in range(pivots):
-            least = rest.groupBy("key").agg(F.min("rep").alias("p")).select(F.col("key").alias("k"), "p")
-            rest = stored(rest.join(least, F.col("key") == F.col("k")).where("rep <> p").select("key", "rep", "n")) if pivots > 1 else rest
-            first = least if first is None else first.union(least)
-        first = first.join(open_.select(F.col("key").alias("pk"), F.col("rep").alias("pr"), F.col("n").alias("pn")), (F.col("k") == F.col("pk")) & (F.col("p") == F.col("pr"))).select("k", "p", "pn")
-        named = open_.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("label"))
-        heads = first.join(labels, F.col("p") == F.col("node"), "left").select("k", "p", "pn", F.coalesce("label", "p").alias("pl"))
-        pairs = (
-            named.join(heads, F.col("key") == F.col("k"))
-            .where((F.col("rep") > F.col("p")) & (F.col("label") != F.col("pl")) & (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")))
-            .select(F.col("p").alias("a"), F.col("rep").alias("b"))
-            .distinct()
-        )
-        pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        done = stored(done.union(_verified(pairs, sets, percent)))
+        sizes = open_.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("lo")).select(F.col("key").alias("k"), "c", "lo")
+        turn = F.pmod(F.xxhash64("rep", F.lit(most)), F.ceil(F.col("c") / most)) == 0
+        pivot = (F.col("rep") == F.col("lo")) | (turn if most > 1 else F.lit(False))
+        named = open_.join(sizes, F.col("key") == F.col("k")).join(labels, F.col("rep") == F.col("node"), "left")
+        marked = stored(named.select("key", "rep", "n", F.coalesce("label", "rep").alias("label"), pivot.alias("pivot")))
+        heads = marked.where("pivot").select(F.col("key").alias("k"), F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl"))
+        fresh = (F.col("rep") != F.col("p")) & (~F.col("pivot") | (F.col("rep") > F.col("p"))) & (F.col("label") != F.col("pl"))
+        sized = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
+        pairs = marked.join(heads, (F.col("key") == F.col("k")) & fresh & sized).select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct()
+        done = stored(done.union(_verified(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"), sets, percent)))
         links = done.where("linked").select("a", "b")
-        labels = components(links)
-        left = open_.join(first.select("k", "p"), (F.col("key") == F.col("k")) & (F.col("rep") == F.col("p")), "left_anti")
-        named = left.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("label"))
-        mixed_ = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(F.col("key").alias("k"))
-        open_ = stored(named.join(mixed_, F.col("key") == F.col("k")).select("key", "rep", "n"))
-        pivots = min(2 * pivots, 16)
+        if (found := links.count()) > n_links:
+            labels, n_links = components(links), found
+        left = marked.where("not pivot").select("key", "rep", "n").join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("label"))
+        apart = left.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(F.col("key").alias("k"))
+        open_ = stored(left.join(apart, F.col("key") == F.col("k")).select("key", "rep", "n"))
+        most += PIVOTS
     return labels
 
 
