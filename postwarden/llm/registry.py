@@ -1,6 +1,6 @@
 """The corpus queries and their SQL."""
 
-from . import license_scan, line_rules, mixing, near_dedup, substring_dedup
+from . import bpe, license_scan, line_rules, mixing, near_dedup, substring_dedup
 
 QUERIES = {
     "op1_line_rules": line_rules.op1_line_rules,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_source_mix": mixing.op4_source_mix,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_near_dedup": near_dedup.op6_near_dedup,
+    "op8_byte_bpe": bpe.op8_byte_bpe,
 }
 ORACLES = {
     "op1_line_rules": line_rules.OP1_SQL,
