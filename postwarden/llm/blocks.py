@@ -1,10 +1,10 @@
-"""Documents dealt into even blocks, and exchanges of sorted keys between blocks and buckets.
+"""Exchanges of sorted keys between blocks of documents and buckets of keys.
 
 A block is a hash share of the documents, one a shuffle partition; a bucket is a range of
 64-bit keys. A block sends each bucket the sorted distinct keys it holds in that range, and
 gets back one bit a key. So a key that a third of all documents hold costs one entry a block,
 not one a document, and no bucket holds more than its range of the distinct keys of each
-block. The documents are shuffled once: every step of one query reads the same exchange.
+block.
 """
 
 from __future__ import annotations
@@ -13,11 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
-
 
 def block_keys(spark, n: int) -> list[int]:
     """One integer for each of ``n`` hash partitions, so that blocks fill partitions evenly."""
@@ -29,15 +26,6 @@ def block_keys(spark, n: int) -> list[int]:
     return [found[p] for p in range(n)]
 
 
-def dealt(docs: DataFrame, *key: Column | str) -> tuple[DataFrame, int]:
-    """``docs`` with a column ``block``, one block a partition, and the number of blocks."""
-    spark = docs.sparkSession
-    n = shuffle_partitions(spark)
-    names = F.array([F.lit(k) for k in block_keys(spark, n)])
-    at = F.get(names, F.pmod(F.xxhash64(*key), F.lit(n)).cast("int"))
-    return docs.withColumn("block", at.cast("long")).repartition(n, "block"), n
-
-
 def cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Where the sorted 64-bit keys pass from one bucket to the next: buckets + 1 places."""
     edges = np.array([(r << 64) // buckets for r in range(1, buckets)], np.uint64)

@@ -38,3 +38,8 @@ def windows(hashes: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
         acc = acc * np.uint64(0xD6E8FEB86659FD93) + hashes[i : i + n]
         acc ^= acc >> np.uint64(32)
     return mixed(acc)
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """The 64-bit hash of each word."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))

@@ -27,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import cuts, dealt, joined_bits, pack, rows, texts
+from .blocks import cuts, joined_bits, pack, rows, texts
 from .common import table
-from .hashing import WordHashes, windows
+from .hashing import windows, word_hashes
+from .packing import opened, packed_blocks
 
 SPAN, SEED = 13, 6
 
@@ -47,63 +48,70 @@ def anchors(hashes: np.ndarray, span: int, seed: int) -> np.ndarray:
 
 
 class Block:
-    """The documents of one block, and the keys it has sent so far, found again from the texts."""
+    """The documents of one block as one run of word hashes, and the keys it sends, found again from the texts."""
 
     def __init__(self, docs: pa.Table, span: int, seed: int):
-        self.span, self.seed, self.hashes = span, seed, WordHashes()
+        self.span, self.seed = span, seed
         self.docs = [(doc, text.split()) for doc, text in texts(docs)]
+        sizes = np.array([len(words) for _, words in self.docs], np.int64)
+        self.begin = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        self.hashes = np.concatenate([np.empty(0, np.uint64), *(word_hashes(words) for _, words in self.docs)])
+        self.ids = np.array([-1 if doc is None else doc for doc, _ in self.docs], np.int64)
+        full = np.where([doc is None for doc, _ in self.docs], 0, np.maximum(sizes - span + 1, 0)).astype(np.int64) if len(sizes) else sizes
+        #: where windows start, and whose they are
+        self.owner = np.repeat(np.arange(len(sizes)), full)
+        self.starts = np.arange(len(self.owner)) - np.repeat(np.cumsum(full) - full - self.begin[:-1], full)
+
+    def _runs(self):
+        """The anchors of all windows, neighbours with one anchor once: their keys, owners and lengths."""
+        low = anchors(self.hashes, self.span, self.seed)[self.starts] if len(self.starts) else np.empty(0, np.uint64)
+        head = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (self.owner[1:] != self.owner[:-1])])) if len(low) else np.empty(0, np.int64)
+        return low[head], self.owner[head], np.diff(np.concatenate([head, [len(low)]]))
+
+    def seeds(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct anchors, whether two documents of the block hold each, each run's anchor, and the runs' lengths."""
+        keys, owners, lengths = self._runs()
+        if not len(keys):
+            return keys, np.empty(0, bool), np.empty(0, np.int64), lengths
+        order = np.argsort(keys)
+        new = np.concatenate([[True], keys[order][1:] != keys[order][:-1]])
+        first, doc = np.flatnonzero(new), self.ids[owners[order]]
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(new) - 1
+        return keys[order][first], np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first), number, lengths
+
+    def windows(self, elsewhere):
+        """The windows around shared anchors: distinct hashes with the smallest document, each window's place among them, and the windows.
 
-    def word_hashes(self, k: int) -> np.ndarray:
-        return self.hashes.of(self.docs[k][1])
-
-    def taking_part(self):
-        return (k for k, (doc, words) in enumerate(self.docs) if doc is not None and len(words) >= self.span)
-
-    def seeds(self) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct anchors, and whether two documents of the block hold each."""
-        keys, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-        for k in self.taking_part():
-            a = np.unique(anchors(self.word_hashes(k), self.span, self.seed))
-            keys.append(a)
-            owners.append(np.full(len(a), self.docs[k][0], np.int64))
-        keys, owners = np.concatenate(keys), np.concatenate(owners)
-        order = np.argsort(keys, kind="stable")
-        keys, owners = keys[order], owners[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-        if not len(first):
-            return keys, np.empty(0, bool)
-        return keys[first], np.minimum.reduceat(owners, first) != np.maximum.reduceat(owners, first)
-
-    def extended(self, shared: np.ndarray):
-        """(document's number, starts, first and second hash) of the windows around shared anchors."""
-        for k in self.taking_part():
-            h = self.word_hashes(k)
-            low = anchors(h, self.span, self.seed)
-            at = np.minimum(np.searchsorted(shared, low), max(len(shared) - 1, 0))
-            starts = np.flatnonzero(shared[at] == low) if len(shared) else np.empty(0, np.int64)
-            if len(starts):
-                yield k, starts, windows(h, self.span, seed=2)[starts], windows(h, self.span, seed=3)[starts]
-
-    def windows(self, shared: np.ndarray):
-        """The distinct windows around shared anchors: hashes and the smallest document, sorted; and where each stands."""
-        found = [(k, s, a, b) for k, s, a, b in self.extended(shared)]
-        if not found:
+        ``elsewhere(keys)`` tells which anchors other blocks hold.
+        """
+        keys, here, number, lengths = self.seeds()
+        chosen = np.flatnonzero(np.repeat((here | elsewhere(keys))[number], lengths)) if len(keys) else np.empty(0, np.int64)
+        if not len(chosen):
             none = np.empty(0, np.uint64)
-            return none, none, np.empty(0, np.int64), np.empty(0, np.int64), found
-        a, b = np.concatenate([x[2] for x in found]), np.concatenate([x[3] for x in found])
-        doc = np.concatenate([np.full(len(x[1]), self.docs[x[0]][0], np.int64) for x in found])
+            return none, none, np.empty(0, np.int64), np.empty(0, np.int64), chosen
+        at = self.starts[chosen]
+        a, b = windows(self.hashes, self.span, seed=2)[at], windows(self.hashes, self.span, seed=3)[at]
+        order, new = sorted_pairs(a, b)
+        first, place = np.flatnonzero(new), np.empty(len(order), np.int64)
+        place[order] = np.cumsum(new) - 1
+        return a[order][first], b[order][first], np.minimum.reduceat(self.ids[self.owner[chosen]][order], first), place, chosen
+
+
+def sorted_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal pairs stand together, by ``a``, and where each pair is new."""
+    order = np.argsort(a)
+    x, y = a[order], b[order]
+    new = np.concatenate([[True], x[1:] != x[:-1]])
+    if (y != y[np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))]).any():  # equal in a alone
         order = np.lexsort((b, a))
-        a, b, doc = a[order], b[order], doc[order]
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        first = np.flatnonzero(new)
-        number = np.empty(len(order), np.int64)
-        number[order] = np.cumsum(new) - 1
-        return a[first], b[first], np.minimum.reduceat(doc, first), number, found
+        x, y = a[order], b[order]
+        new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+    return order, new
 
 
-def _shared(docs: Block, bits: dict[int, bytes], n: int) -> np.ndarray:
-    keys, here = docs.seeds()
-    return keys[here | joined_bits(bits, cuts(keys, n))] if len(keys) else keys
+def _elsewhere(bits: dict[int, bytes], n: int):
+    return lambda keys: joined_bits(bits, cuts(keys, n))
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -150,29 +158,23 @@ def _meet_windows(sent: pa.Table) -> pa.Table:
     a, b = ([np.frombuffer(x, np.uint64) for x in sent.column(c).to_pylist()] for c in "ab")
     sizes = [len(x) for x in a]
     doc = np.concatenate([_unpacked(x, n) for x, n in zip(sent.column("doc").to_pylist(), sizes, strict=True)])
-    a, b = np.concatenate(a), np.concatenate(b)
-    order = np.lexsort((b, a))
-    new = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])
+    order, new = sorted_pairs(np.concatenate(a), np.concatenate(b))
     least = np.minimum.reduceat(doc[order], np.flatnonzero(new))[np.cumsum(new) - 1]
     smaller = np.empty(len(doc), bool)
     smaller[order] = least < doc[order]
     return _answer(sent, 2, np.split(smaller, np.cumsum(sizes)[:-1]))
 
 
-def _covered(docs: Block, shared: np.ndarray, bits: dict[int, bytes], n: int) -> dict[int, np.ndarray]:
+def _covered(docs: Block, anchor_bits: dict[int, bytes], window_bits: dict[int, bytes], n: int) -> dict[int, np.ndarray]:
     """By document's number, which of its words lie in a repeat."""
-    a, _, least, number, found = docs.windows(shared)
-    smaller, out, i = joined_bits(bits, cuts(a, n)), {}, 0
-    for k, starts, *_ in found:
-        own = number[i : i + len(starts)]
-        i += len(starts)
-        hit = starts[smaller[own] | (least[own] < docs.docs[k][0])]
-        if len(hit):
-            edge = np.zeros(len(docs.docs[k][1]) + 1, np.int32)
-            np.add.at(edge, hit, 1)
-            np.add.at(edge, hit + docs.span, -1)
-            out[k] = np.cumsum(edge[:-1]) > 0
-    return out
+    a, _, least, place, chosen = docs.windows(_elsewhere(anchor_bits, n))
+    if not len(chosen):
+        return {}
+    owner = docs.owner[chosen]
+    hit = chosen[joined_bits(window_bits, cuts(a, n))[place] | (least[place] < docs.ids[owner])]
+    edge = np.bincount(docs.starts[hit], minlength=len(docs.hashes) + 1) - np.bincount(docs.starts[hit] + docs.span, minlength=len(docs.hashes) + 1)
+    inside = np.cumsum(edge) > 0
+    return {k: inside[docs.begin[k] : docs.begin[k + 1]] for k in np.unique(docs.owner[hit]).tolist()}
 
 
 def repeats(covered: np.ndarray) -> list[tuple[int, int]]:
@@ -199,23 +201,21 @@ def substring_dedup(docs: DataFrame, result, schema: str, span: int = SPAN, seed
     """``result(table, Block, covered)`` of each block; ``docs`` has doc_id and text, and what ``result`` reads."""
     if not 0 < seed <= span:
         raise ValueError("seed must be between 1 and span")
-    blocks, n = dealt(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id")
+    blocks, n = packed_blocks(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id")
 
     def seeds(t: pa.Table) -> pa.Table:
-        keys, _ = Block(t, span, seed).seeds()
+        keys, *_ = Block(opened(t), span, seed).seeds()
         return _sent(t.column("block")[0].as_py(), cuts(keys, n), keys)
 
     def extend(key, t: pa.Table, answers: pa.Table) -> pa.Table:
         if not t.num_rows:
             return pa.table({"block": pa.array([], pa.int64()), "bucket": pa.array([], pa.int64()), **{c: pa.array([], pa.binary()) for c in ("a", "b", "doc")}})
-        own = Block(t, span, seed)
-        a, b, least, *_ = own.windows(_shared(own, _bits_of(answers, 1), n))
+        a, b, least, *_ = Block(opened(t), span, seed).windows(_elsewhere(_bits_of(answers, 1), n))
         return _sent(key[0].as_py(), cuts(a, n), a, b, least)
 
     def finish(key, t: pa.Table, answers: pa.Table) -> pa.Table:
-        own = Block(t, span, seed)
-        covered = _covered(own, _shared(own, _bits_of(answers, 1), n), _bits_of(answers, 2), n)
-        return result(t, own, covered)
+        own = Block(t := opened(t), span, seed)
+        return result(t, own, _covered(own, _bits_of(answers, 1), _bits_of(answers, 2), n))
 
     first = blocks.groupBy("block").applyInArrow(seeds, SENT).groupBy("bucket").applyInArrow(_meet_anchors, ANSWER)
     second = blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(extend, SENT).groupBy("bucket").applyInArrow(_meet_windows, ANSWER)
