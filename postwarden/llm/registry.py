@@ -1,6 +1,6 @@
 """The corpus queries and their SQL."""
 
-from . import bpe, license_scan, line_rules, mixing, near_dedup, substring_dedup
+from . import ann, bpe, license_scan, line_rules, mixing, near_dedup, substring_dedup
 
 QUERIES = {
     "op1_line_rules": line_rules.op1_line_rules,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_source_mix": mixing.op4_source_mix,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_near_dedup": near_dedup.op6_near_dedup,
+    "op7_rotated_codes": ann.op7_rotated_codes,
     "op8_byte_bpe": bpe.op8_byte_bpe,
 }
 ORACLES = {
@@ -15,4 +16,5 @@ ORACLES = {
     "op3_license_scan": license_scan.OP3_SQL,
     "op5_substring_dedup": substring_dedup.OP5_SQL,
     "op6_near_dedup": near_dedup.OP6_SQL,
+    "op7_rotated_codes": ann.OP7_SQL,
 }
