@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import stored, table
 from .components import components
-from .hashing import WordHashes, mixed, windows
+from .hashing import mixed, windows, word_hashes
 
 PLACES = 1 << 20
 ROWS, BANDS = 5, 40
@@ -39,13 +39,13 @@ PERCENT = 80
 PIVOTS = 64
 
 
-def shingle_set(text: str | None, hashes: WordHashes, width: int) -> np.ndarray:
+def shingle_set(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct shingle hashes of a text."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return np.empty(0, np.uint64)
-    found = windows(hashes.of(words), min(width, len(words)), seed=min(width, len(words)))
-    return np.unique(found)
+    width = min(width, len(words))
+    return np.unique(windows(word_hashes(words), width, seed=width))
 
 
 class Circulant:
@@ -74,11 +74,11 @@ class Circulant:
 
 def _signatures(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, maker = WordHashes(), Circulant()
+        maker = Circulant()
         for batch in batches:
             ids, sizes, classes, bands = batch.column(0), [], [], []
             for text in batch.column(1):
-                s = shingle_set(text.as_py(), hashes, width)
+                s = shingle_set(text.as_py(), width)
                 sizes.append(len(s))
                 classes.append(xxhash.xxh3_128_digest(s.tobytes()))
                 bands.append(maker.bands(s) if len(s) else np.empty(0, np.int64))
@@ -93,11 +93,10 @@ def _signatures(width: int):
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             ids, sets = [], []
             for doc, text, cls in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                s = shingle_set(text.as_py(), hashes, width)
+                s = shingle_set(text.as_py(), width)
                 if xxhash.xxh3_128_digest(s.tobytes()) == cls.as_py():
                     ids.append(doc.as_py())
                     sets.append(s.tobytes())
