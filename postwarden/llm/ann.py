@@ -86,7 +86,7 @@ def build_index(vectors: DataFrame) -> DataFrame:
     return vectors.mapInArrow(_coded, "dim int, ids binary, vectors binary, codes binary, f binary")
 
 
-def _blocked(key, part: pa.Table) -> pa.Table:
+def _blocked(key, part):
     part = part.combine_chunks()
     v = _matrix(part.column("v").chunk(0), len(part.column("v")[0]))
     return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "q_ids": pa.array([part.column("id").to_numpy().tobytes()], pa.binary()), "q_vectors": pa.array([v.tobytes()], pa.binary())})
