@@ -1,9 +1,10 @@
 """The corpus queries and their SQL."""
 
-from . import ann, bpe, license_scan, line_rules, mixing, near_dedup, substring_dedup
+from . import ann, bpe, grading, license_scan, line_rules, mixing, near_dedup, substring_dedup
 
 QUERIES = {
     "op1_line_rules": line_rules.op1_line_rules,
+    "op2_ordinal_quality": grading.op2_ordinal_quality,
     "op3_license_scan": license_scan.op3_license_scan,
     "op4_source_mix": mixing.op4_source_mix,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
