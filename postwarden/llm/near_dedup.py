@@ -10,7 +10,9 @@ Documents with the same set are one class, named by its smallest doc_id; only cl
 Inside a bucket no pairs are listed. In the first round the smallest member of a bucket is its
 pivot, in later rounds a seeded choice of some PIVOTS members more each time; pivots are
 compared with all other members on their full sets and leave, and a bucket ends when all that
-remain are in one component of the links found so far. So each pair in a bucket is either compared or known to be connected, and a group of
+remain are in one component of the links found so far. Before the full sets, two bits of each
+coordinate are compared: a pair at Jaccard 0.8 differs in 30 of 200, and one that differs in
+more than MOST_APART (over five standard deviations, 1e-7) goes no further. So each pair in a bucket is either compared or known to be connected, and a group of
 thousands of mutual near copies costs one comparison a member.
 
 Defined cases: a null text and a text without words have the empty set, linked with nothing;
@@ -36,7 +38,9 @@ PLACES = 1 << 20
 ROWS, BANDS = 5, 40
 PERCENT = 80
 #: Members of a bucket that a round after the first compares with all others.
-PIVOTS = 64
+PIVOTS = 256
+#: Longs that hold one bit of all coordinates, and how many coordinates may differ in two bits in a pair that is compared.
+LONGS, MOST_APART = 4, 57
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -64,29 +68,37 @@ class Circulant:
             np.minimum(best, self.shifts[places[i : i + 2048]].min(axis=0), out=best)
         return best
 
-    def bands(self, shingles: np.ndarray) -> np.ndarray:
-        rows = self.signature(shingles).reshape(BANDS, ROWS).astype(np.uint64)
+    def bands(self, signature: np.ndarray) -> np.ndarray:
+        rows = signature.reshape(BANDS, ROWS).astype(np.uint64)
         key = np.arange(1, BANDS + 1, dtype=np.uint64)
         for j in range(ROWS):
             key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, j])
         return key.view(np.int64)
 
+    def sketch(self, signature: np.ndarray) -> np.ndarray:
+        """The two lowest bits of all coordinates, the first LONGS words the lower."""
+        planes = [np.packbits((signature >> k) & 1).tobytes().ljust(8 * LONGS, b"\0") for k in (0, 1)]
+        return np.frombuffer(b"".join(planes), np.int64)
+
+
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *rows])))
+
 
 def _signatures(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Circulant()
         for batch in batches:
-            ids, sizes, classes, bands = batch.column(0), [], [], []
+            ids, sizes, classes, bands, sketches = batch.column(0), [], [], [], []
             for text in batch.column(1):
                 s = shingle_set(text.as_py(), width)
                 sizes.append(len(s))
                 classes.append(xxhash.xxh3_128_digest(s.tobytes()))
-                bands.append(maker.bands(s) if len(s) else np.empty(0, np.int64))
-            ends = np.cumsum([0, *map(len, bands)]).astype(np.int32)
-            flat = np.concatenate([np.empty(0, np.int64), *bands])
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "n_shingles", "cls", "bands"]
-            )
+                signature = maker.signature(s)
+                bands.append(maker.bands(signature) if len(s) else np.empty(0, np.int64))
+                sketches.append(maker.sketch(signature))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), _lists(bands), _lists(sketches)], names=["doc_id", "n_shingles", "cls", "bands", "sketch"])
 
     return run
 
@@ -130,9 +142,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def link_classes(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """Components (node, label) of the classes that have a link to another class."""
-    keys = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    keys = classes.select("rep", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select(F.col("key").alias("k"))
-    open_ = stored(keys.join(shared, F.col("key") == F.col("k")).select("key", "rep", "n"))
+    open_ = stored(keys.join(shared, F.col("key") == F.col("k")).select("key", "rep"))
+    known = classes.select(F.col("rep").alias("r"), F.col("n_shingles").alias("n"), *[F.col("sketch")[i].alias(f"s{i}") for i in range(2 * LONGS)])
+    facts = ["n", *(f"s{i}" for i in range(2 * LONGS))]
+    open_ = stored(open_.join(known, F.col("rep") == F.col("r")).select("key", "rep", *facts))
     wanted = open_.select("rep").distinct().join(classes.select(F.col("rep").alias("r"), "cls"), F.col("rep") == F.col("r")).select("rep", "cls")
     texts = docs.join(wanted, F.col("doc_id") == F.col("rep")).select("doc_id", "text", "cls")
     sets = stored(texts.mapInArrow(_sets(width), "id long, set binary"))
@@ -144,18 +159,20 @@ def link_classes(docs: DataFrame, classes: DataFrame, width: int, percent: int)
         turn = F.pmod(F.xxhash64("rep", F.lit(most)), F.ceil(F.col("c") / most)) == 0
         pivot = (F.col("rep") == F.col("lo")) | (turn if most > 1 else F.lit(False))
         named = open_.join(sizes, F.col("key") == F.col("k")).join(labels, F.col("rep") == F.col("node"), "left")
-        marked = stored(named.select("key", "rep", "n", F.coalesce("label", "rep").alias("label"), pivot.alias("pivot")))
-        heads = marked.where("pivot").select(F.col("key").alias("k"), F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl"))
+        marked = stored(named.select("key", "rep", *facts, F.coalesce("label", "rep").alias("label"), pivot.alias("pivot")))
+        heads = marked.where("pivot").select(F.col("key").alias("k"), F.col("rep").alias("p"), F.col("label").alias("pl"), *[F.col(x).alias(f"p{x}") for x in facts])
         fresh = (F.col("rep") != F.col("p")) & (~F.col("pivot") | (F.col("rep") > F.col("p"))) & (F.col("label") != F.col("pl"))
         sized = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
-        pairs = marked.join(heads, (F.col("key") == F.col("k")) & fresh & sized).select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct()
+        differ = [F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"ps{i}")).bitwiseOR(F.col(f"s{i + LONGS}").bitwiseXOR(F.col(f"ps{i + LONGS}")))) for i in range(LONGS)]
+        near = sum(differ[1:], differ[0]) <= MOST_APART
+        pairs = marked.join(heads, (F.col("key") == F.col("k")) & fresh & sized & near).select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct()
         done = stored(done.union(_verified(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"), sets, percent)))
         links = done.where("linked").select("a", "b")
         if (found := links.count()) > n_links:
             labels, n_links = components(links), found
-        left = marked.where("not pivot").select("key", "rep", "n").join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("label"))
+        left = marked.where("not pivot").drop("label").join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", *facts, F.coalesce("label", "rep").alias("label"))
         apart = left.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(F.col("key").alias("k"))
-        open_ = stored(left.join(apart, F.col("key") == F.col("k")).select("key", "rep", "n"))
+        open_ = stored(left.join(apart, F.col("key") == F.col("k")).select("key", "rep", *facts))
         most += PIVOTS
     return labels
 
@@ -163,10 +180,10 @@ def link_classes(docs: DataFrame, classes: DataFrame, width: int, percent: int)
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = PERCENT) -> DataFrame:
     """One row a row of ``docs``: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sig = stored(docs.mapInArrow(_signatures(width), "doc_id long, n_shingles long, cls binary, bands array<long>"))
+    sig = stored(docs.mapInArrow(_signatures(width), "doc_id long, n_shingles long, cls binary, bands array<long>, sketch array<long>"))
     real = sig.where("doc_id is not null and n_shingles > 0")
-    classes = real.groupBy("cls").agg(F.min_by(F.struct("doc_id", "n_shingles", "bands"), "doc_id").alias("x"))
-    classes = stored(classes.select("cls", F.col("x.doc_id").alias("rep"), F.col("x.n_shingles").alias("n_shingles"), F.col("x.bands").alias("bands")))
+    classes = real.groupBy("cls").agg(F.min_by(F.struct("doc_id", "n_shingles", "bands", "sketch"), "doc_id").alias("x"))
+    classes = stored(classes.select("cls", F.col("x.doc_id").alias("rep"), F.col("x.n_shingles").alias("n_shingles"), F.col("x.bands").alias("bands"), F.col("x.sketch").alias("sketch")))
     same = sig.select("doc_id", "n_shingles", "cls").join(classes.select(F.col("cls").alias("c"), "rep"), F.col("cls") == F.col("c"), "left")
     # rows that share a doc_id tie their classes together
     tied = real.join(classes.select(F.col("cls").alias("c"), "rep"), F.col("cls") == F.col("c")).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
