@@ -12,7 +12,9 @@ pivot, in later rounds a seeded choice of some PIVOTS members more each time; pi
 compared with all other members on their full sets and leave, and a bucket ends when all that
 remain are in one component of the links found so far. Before the full sets, two bits of each
 coordinate are compared: a pair at Jaccard 0.8 differs in 30 of 200, and one that differs in
-more than MOST_APART (over five standard deviations, 1e-7) goes no further. So each pair in a bucket is either compared or known to be connected, and a group of
+more than MOST_APART (over five standard deviations, 1e-7) goes no further. After a round,
+shingles that only one of the remaining documents has bound what it can share with any other;
+pairs, and documents, that cannot reach the threshold under this bound leave. So each pair in a bucket is either compared or known to be connected, and a group of
 thousands of mutual near copies costs one comparison a member.
 
 Defined cases: a null text and a text without words have the empty set, linked with nothing;
@@ -140,13 +142,31 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return two.mapInArrow(_compare(percent), "a long, b long, linked boolean")
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for doc, s in zip(batch.column(0), batch.column(1), strict=True):
+            found = np.frombuffer(s.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), doc.as_py())), pa.array(found)], names=["id", "token"])
+
+
+def _hopeful(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``open_`` with ``most``, the shingles that a class shares with any other open class, less the classes for which these are too few for any link."""
+    if open_.isEmpty():
+        return open_
+    live = open_.select(F.col("rep").alias("r")).distinct()
+    tokens = sets.join(live, F.col("id") == F.col("r"), "left_semi").mapInArrow(_tokens, "id long, token long")
+    own = tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("own"))
+    counted = open_.join(own, F.col("rep") == F.col("id"), "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).drop("id", "own")
+    return stored(counted.where(100 * F.col("most") >= percent * F.col("n")))
+
+
 def link_classes(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """Components (node, label) of the classes that have a link to another class."""
     keys = classes.select("rep", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select(F.col("key").alias("k"))
     open_ = stored(keys.join(shared, F.col("key") == F.col("k")).select("key", "rep"))
-    known = classes.select(F.col("rep").alias("r"), F.col("n_shingles").alias("n"), *[F.col("sketch")[i].alias(f"s{i}") for i in range(2 * LONGS)])
-    facts = ["n", *(f"s{i}" for i in range(2 * LONGS))]
+    known = classes.select(F.col("rep").alias("r"), F.col("n_shingles").alias("n"), F.col("n_shingles").alias("most"), *[F.col("sketch")[i].alias(f"s{i}") for i in range(2 * LONGS)])
+    facts = ["n", "most", *(f"s{i}" for i in range(2 * LONGS))]
     open_ = stored(open_.join(known, F.col("rep") == F.col("r")).select("key", "rep", *facts))
     wanted = open_.select("rep").distinct().join(classes.select(F.col("rep").alias("r"), "cls"), F.col("rep") == F.col("r")).select("rep", "cls")
     texts = docs.join(wanted, F.col("doc_id") == F.col("rep")).select("doc_id", "text", "cls")
@@ -162,7 +182,8 @@ def link_classes(docs: DataFrame, classes: DataFrame, width: int, percent: int)
         marked = stored(named.select("key", "rep", *facts, F.coalesce("label", "rep").alias("label"), pivot.alias("pivot")))
         heads = marked.where("pivot").select(F.col("key").alias("k"), F.col("rep").alias("p"), F.col("label").alias("pl"), *[F.col(x).alias(f"p{x}") for x in facts])
         fresh = (F.col("rep") != F.col("p")) & (~F.col("pivot") | (F.col("rep") > F.col("p"))) & (F.col("label") != F.col("pl"))
-        sized = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
+        common = F.least("most", "pmost")
+        sized = 100 * common >= percent * (F.col("n") + F.col("pn") - common)
         differ = [F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"ps{i}")).bitwiseOR(F.col(f"s{i + LONGS}").bitwiseXOR(F.col(f"ps{i + LONGS}")))) for i in range(LONGS)]
         near = sum(differ[1:], differ[0]) <= MOST_APART
         pairs = marked.join(heads, (F.col("key") == F.col("k")) & fresh & sized & near).select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct()
@@ -172,7 +193,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, width: int, percent: int)
             labels, n_links = components(links), found
         left = marked.where("not pivot").drop("label").join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", *facts, F.coalesce("label", "rep").alias("label"))
         apart = left.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(F.col("key").alias("k"))
-        open_ = stored(left.join(apart, F.col("key") == F.col("k")).select("key", "rep", *facts))
+        open_ = _hopeful(stored(left.join(apart, F.col("key") == F.col("k")).select("key", "rep", *facts)), sets, percent)
         most += PIVOTS
     return labels
 
