@@ -1,8 +1,57 @@
-"""The corpus pipeline: stages over ``documents``."""
+"""The corpus pipeline over ``documents``: five stages, each a corpus operator.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir), works on all rows of its predecessor, and returns the
+columns of ``documents``, the last the encoded documents. ``run`` writes every stage as
+Parquet to the cluster's shared folder and reads it again as the next one's input.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from postwarden.llm import bpe, grading, mixing, near_dedup, substring_dedup
+from postwarden.llm.common import stored, table
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal classifier, fitted on the ratings of ``labels``, selects."""
+    return grading.selected(docs, grading.ratings(table(spark, sf_dir, "labels")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: shingles of five words, Jaccard 0.8 or more."""
+    return near_dedup.first_copies(docs)
+
+
+def substring_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts less the passages of over 50 words that a document with a smaller id holds too."""
+    return substring_dedup.cut_repeats(docs, span=50)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents mixed to the sources' target weights; one that is taken n times is there n times."""
+    return mixing.taken_documents(docs)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, and hashes of the ids and of the bytes they decode to."""
+    return bpe.encoded_digests(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("near duplicates", near_duplicates),
+    ("substring repeats", substring_repeats),
+    ("source mix", source_mix),
+    ("byte-level BPE", byte_bpe),
+]
+
+#: The classifier, the seeded mix and BPE are not expressible in SQL; tests/llm/ has brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir))
+    return docs
