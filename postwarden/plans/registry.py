@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import queries
+
+QUERIES = dict(queries.QUERIES)
+ORACLES = dict(queries.ORACLES)
 
 
 def flagship(spark, sf_dir: str):
-    raise NotImplementedError
+    return queries.page_verdicts(spark, sf_dir).select("message_id", "score", "tier", "headline")
