@@ -7,15 +7,12 @@ make the candidate buckets; at Jaccard 0.8 a pair misses all buckets with a chan
 (1 - 0.8**5)**40, 1.3e-7.
 
 Documents with the same set are one class, named by its smallest doc_id; only classes go on.
-Inside a bucket no pairs are listed. In the first round the smallest member of a bucket is its
-pivot, in later rounds a seeded choice of some PIVOTS members more each time; pivots are
-compared with all other members on their full sets and leave, and a bucket ends when all that
-remain are in one component of the links found so far. Before the full sets, two bits of each
-coordinate are compared: a pair at Jaccard 0.8 differs in 30 of 200, and one that differs in
-more than MOST_APART (over five standard deviations, 1e-7) goes no further. After a round,
-shingles that only one of the remaining documents has bound what it can share with any other;
-pairs, and documents, that cannot reach the threshold under this bound leave. So each pair in a bucket is either compared or known to be connected, and a group of
-thousands of mutual near copies costs one comparison a member.
+Inside a bucket no pairs are listed. Every member is compared with the bucket's smallest: first
+by two bits of each coordinate (a pair at Jaccard 0.8 differs in 30 of 200 on average; one that
+differs in more than MOST_APART, over five standard deviations, 1e-7, goes no further), then on
+the full sets. What these links connect needs no more comparing, so a group of thousands of
+mutual near copies costs one comparison a member. Documents in buckets that are still apart
+are joined once more, exactly, by a prefix filter on their rarest shingles.
 
 Defined cases: a null text and a text without words have the empty set, linked with nothing;
 a null doc_id is linked with nothing, has a null component and is kept; rows that share a
@@ -39,8 +36,6 @@ from .hashing import mixed, windows, word_hashes
 PLACES = 1 << 20
 ROWS, BANDS = 5, 40
 PERCENT = 80
-#: Members of a bucket that a round after the first compares with all others.
-PIVOTS = 256
 #: Longs that hold one bit of all coordinates, and how many coordinates may differ in two bits in a pair that is compared.
 LONGS, MOST_APART = 4, 57
 
@@ -149,53 +144,56 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), doc.as_py())), pa.array(found)], names=["id", "token"])
 
 
-def _hopeful(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``open_`` with ``most``, the shingles that a class shares with any other open class, less the classes for which these are too few for any link."""
-    if open_.isEmpty():
-        return open_
-    live = open_.select(F.col("rep").alias("r")).distinct()
-    tokens = sets.join(live, F.col("id") == F.col("r"), "left_semi").mapInArrow(_tokens, "id long, token long")
-    own = tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("own"))
-    counted = open_.join(own, F.col("rep") == F.col("id"), "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).drop("id", "own")
-    return stored(counted.where(100 * F.col("most") >= percent * F.col("n")))
+def _prefix_pairs(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``live`` (rep, label) with different labels that a prefix filter can't rule out.
+
+    Shingles are put in one order, rare ones first. Sets of n and m shingles that meet the
+    threshold share at least o = percent (n + m) / (100 + percent); so they have a common
+    shingle among the first n - o + 1 of one and m - o + 1 of the other. Only pairs with a
+    common shingle that stands early enough in both go on.
+    """
+    own = live.select(F.col("rep").alias("r"), "label")
+    tokens = stored(sets.join(own.select("r"), F.col("id") == F.col("r"), "left_semi").mapInArrow(_tokens, "id long, token long"))
+    df = tokens.groupBy("token").agg(F.count("*").alias("df")).select(F.col("token").alias("t"), "df")
+    ranked = tokens.join(df, F.col("token") == F.col("t")).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s"))
+    n = F.size("s")
+    prefix = ranked.select("id", n.alias("n"), F.posexplode(F.slice("s", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1)).alias("pos", "x"))
+    prefix = prefix.where("x.df > 1").select("id", "n", "pos", F.col("x.token").alias("token")).join(own, F.col("id") == F.col("r")).select("id", "n", "pos", "token", "label")
+    apart = prefix.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(F.col("token").alias("t"))
+    prefix = stored(prefix.join(apart, F.col("token") == F.col("t"), "left_semi"))
+    other = prefix.select(F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("token").alias("token2"), F.col("label").alias("label2"))
+    shared = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
+    enough = (100 + percent) * shared >= percent * (F.col("n") + F.col("n2"))
+    return prefix.join(other, (F.col("token") == F.col("token2")) & (F.col("id") < F.col("id2")) & (F.col("label") != F.col("label2")) & enough).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """Components (node, label) of the classes that have a link to another class."""
     keys = classes.select("rep", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select(F.col("key").alias("k"))
-    open_ = stored(keys.join(shared, F.col("key") == F.col("k")).select("key", "rep"))
-    known = classes.select(F.col("rep").alias("r"), F.col("n_shingles").alias("n"), F.col("n_shingles").alias("most"), *[F.col("sketch")[i].alias(f"s{i}") for i in range(2 * LONGS)])
-    facts = ["n", "most", *(f"s{i}" for i in range(2 * LONGS))]
-    open_ = stored(open_.join(known, F.col("rep") == F.col("r")).select("key", "rep", *facts))
-    wanted = open_.select("rep").distinct().join(classes.select(F.col("rep").alias("r"), "cls"), F.col("rep") == F.col("r")).select("rep", "cls")
+    shared = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("p")).where("c > 1").select(F.col("key").alias("k"), "p")
+    members = stored(keys.join(shared, F.col("key") == F.col("k")).select("key", "rep", "p"))
+    wanted = members.select("rep").distinct().join(classes.select(F.col("rep").alias("r"), "cls"), F.col("rep") == F.col("r")).select("rep", "cls")
     texts = docs.join(wanted, F.col("doc_id") == F.col("rep")).select("doc_id", "text", "cls")
     sets = stored(texts.mapInArrow(_sets(width), "id long, set binary"))
-    spark = docs.sparkSession
-    done = spark.createDataFrame([], "a long, b long, linked boolean")
-    labels, n_links, most = spark.createDataFrame([], "node long, label long"), 0, 1
-    while not open_.isEmpty():
-        sizes = open_.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("lo")).select(F.col("key").alias("k"), "c", "lo")
-        turn = F.pmod(F.xxhash64("rep", F.lit(most)), F.ceil(F.col("c") / most)) == 0
-        pivot = (F.col("rep") == F.col("lo")) | (turn if most > 1 else F.lit(False))
-        named = open_.join(sizes, F.col("key") == F.col("k")).join(labels, F.col("rep") == F.col("node"), "left")
-        marked = stored(named.select("key", "rep", *facts, F.coalesce("label", "rep").alias("label"), pivot.alias("pivot")))
-        heads = marked.where("pivot").select(F.col("key").alias("k"), F.col("rep").alias("p"), F.col("label").alias("pl"), *[F.col(x).alias(f"p{x}") for x in facts])
-        fresh = (F.col("rep") != F.col("p")) & (~F.col("pivot") | (F.col("rep") > F.col("p"))) & (F.col("label") != F.col("pl"))
-        common = F.least("most", "pmost")
-        sized = 100 * common >= percent * (F.col("n") + F.col("pn") - common)
-        differ = [F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"ps{i}")).bitwiseOR(F.col(f"s{i + LONGS}").bitwiseXOR(F.col(f"ps{i + LONGS}")))) for i in range(LONGS)]
-        near = sum(differ[1:], differ[0]) <= MOST_APART
-        pairs = marked.join(heads, (F.col("key") == F.col("k")) & fresh & sized & near).select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct()
-        done = stored(done.union(_verified(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"), sets, percent)))
-        links = done.where("linked").select("a", "b")
-        if (found := links.count()) > n_links:
-            labels, n_links = components(links), found
-        left = marked.where("not pivot").drop("label").join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", *facts, F.coalesce("label", "rep").alias("label"))
-        apart = left.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(F.col("key").alias("k"))
-        open_ = _hopeful(stored(left.join(apart, F.col("key") == F.col("k")).select("key", "rep", *facts)), sets, percent)
-        most += PIVOTS
-    return labels
+
+    # every member against its bucket's smallest
+    facts = classes.select(F.col("rep").alias("r"), F.col("n_shingles").alias("n"), "sketch")
+    pairs = members.where("rep <> p").select(F.col("p").alias("a"), F.col("rep").alias("b")).distinct()
+    pairs = pairs.join(facts, F.col("b") == F.col("r")).select("a", "b", F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    pairs = pairs.join(facts, F.col("a") == F.col("r")).select("a", "b", "nb", "sb", F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    differ = [F.bit_count(F.get("sa", F.lit(i)).bitwiseXOR(F.get("sb", F.lit(i))).bitwiseOR(F.get("sa", F.lit(i + LONGS)).bitwiseXOR(F.get("sb", F.lit(i + LONGS))))) for i in range(LONGS)]
+    pairs = pairs.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (sum(differ[1:], differ[0]) <= MOST_APART)).select("a", "b")
+    links = stored(_verified(pairs, sets, percent).where("linked").select("a", "b"))
+    labels = components(links)
+
+    # the members of buckets that are not connected so far, against each other
+    named = members.select("key", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
+    apart = named.groupBy("key").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi and c > 2").select(F.col("key").alias("k"))
+    live = stored(named.join(apart, F.col("key") == F.col("k"), "left_semi").select("rep", "label").distinct())
+    if live.isEmpty():
+        return labels
+    more = _verified(_prefix_pairs(live, sets, percent), sets, percent).where("linked").select("a", "b")
+    return components(links.union(more))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = PERCENT) -> DataFrame:
