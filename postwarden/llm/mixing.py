@@ -8,8 +8,8 @@
 3. A pattern that is to give F of its S words takes every document F // S times, and one more
    time those that come first in a seeded order, until F is reached. The cut in that order is
    found from two histograms of 1024 bins of the order's key, so no pattern is sorted or
-   gathered in one task; at the cut, documents are added that fill what is left, the largest
-   size class first. The gap that remains is under the smallest candidate's size.
+   gathered in one task; then documents fill what is left, the largest size class first, one
+   a class, new ones before repeats. The gap that remains is under the smallest candidate's size.
 
 Defined cases: a null text has size 0 and is never taken; a null source is a source of its own,
 last in order; repeated rows count one by one and share their fate; empty tables give empty
@@ -128,13 +128,13 @@ def select_documents(sized: DataFrame, given: dict[tuple, int], supply: dict[tup
                 need[p] -= bins[p].get(k, 0)
                 k += 1
             edge[p] = (edge[p] << 10) + k if level else k
-    # rows before the edge are taken once more; at it, the best fits by size class fill the gap
+    # rows before the edge are taken once more; the best fits by size class, new ones first, fill the gap
     rows = [(list(p), whole[p], edge[p], need[p]) for p in supply]
     at = _pattern_frame(spark, rows, "whole long, edge long, need long")
     part = sized.join(F.broadcast(at), _same("pattern", F.col("at"))).drop("at")
     before = F.shiftright("u", 10) < F.col("edge")
-    fits = part.where(~before & (F.col("size") > 0) & (F.col("size") <= F.col("need")))
-    classes = fits.groupBy("pattern", F.floor(8 * F.log2("size")).alias("class")).agg(F.min_by(F.struct("size", "u", "pick"), F.struct("u", "pick")).alias("c"))
+    fits = part.where((F.col("size") > 0) & (F.col("size") <= F.col("need")) & (F.col("whole") + before.cast("int") < len(PASS_COSTS)))
+    classes = fits.groupBy("pattern", F.floor(8 * F.log2("size")).alias("class")).agg(F.min_by(F.struct("size", "u", "pick"), F.struct(before, "u", "pick")).alias("c"))
     fill: dict[tuple, list] = {p: [] for p in supply}
     left = dict(need)
     for r in sorted(classes.collect(), key=lambda r: (-r["c"]["size"], r["c"]["u"])):  # at most some 300 classes a pattern
@@ -147,7 +147,7 @@ def select_documents(sized: DataFrame, given: dict[tuple, int], supply: dict[tup
     out = part.withColumn("before", before).join(
         F.broadcast(extra), _same("pattern", F.col("of")) & (F.col("u") == F.col("fill_u")) & (F.col("pick") == F.col("fill_pick")), "left"
     )
-    more = (F.col("before") | F.col("fill_u").isNotNull()).cast("long")
+    more = F.col("before").cast("long") + F.col("fill_u").isNotNull().cast("long")
     return out.withColumn("times", F.when(F.col("size") > 0, F.col("whole") + more).otherwise(F.lit(0)).cast("long")).drop("whole", "edge", "need", "before", "of", "fill_u", "fill_pick")
 
 

@@ -24,10 +24,10 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        block = batch.column(batch.num_columns - 1).to_numpy()
+        block = batch.column(1).to_numpy()
         order = np.argsort(block, kind="stable")
         ends = [*(np.flatnonzero(np.diff(block[order])) + 1).tolist(), len(order)]
-        rest, names, streams, first = batch.select(batch.schema.names[:-1]), [], [], 0
+        rest, names, streams, first = pa.RecordBatch.from_struct_array(batch.column(0)), [], [], 0
         for end in ends:
             part, out = rest.take(pa.array(order[first:end])), io.BytesIO()
             with pa.ipc.new_stream(out, part.schema, options=options) as to:
@@ -44,7 +44,8 @@ def packed_blocks(docs: DataFrame, *key: Column | str) -> tuple[DataFrame, int]:
     n = shuffle_partitions(spark)
     names = F.array([F.lit(k) for k in block_keys(spark, n)])
     at = F.get(names, F.pmod(F.xxhash64(*key), F.lit(n)).cast("int")).cast("long")
-    return docs.withColumn("block", at).mapInArrow(_packed, "block long, stream binary").repartition(n, "block"), n
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), at.alias("block"))
+    return rows.mapInArrow(_packed, "block long, stream binary").repartition(n, "block"), n
 
 
 def opened(table: pa.Table) -> pa.Table:
