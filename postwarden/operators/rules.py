@@ -6,7 +6,7 @@ addresses, intel, facts (by host), profile, page (HTML), links and the style of
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import filenames as N
@@ -34,14 +34,23 @@ def dmarc_policy(raw: Column) -> Column:
     return F.lower(F.regexp_extract(F.regexp_replace(F.coalesce(raw, F.lit("")), r"\s+", " "), r"(?i)dmarc\s*=\s*\w+[^;]*?\bp\s*=\s*(\w+)", 1))
 
 
+def with_orgs(rows: DataFrame) -> DataFrame:
+    """The organisations that the rules compare, once each."""
+    reply, bounce = domain_of("reply_to_addr"), domain_of("return_path_addr")
+    return rows.withColumns({
+        "org": org_domain("from_domain"), "signer_org": org_domain(C("auth.dkim_domain")), "reply_org": org_domain(reply), "bounce_org": org_domain(bounce),
+        "from_free": is_freemail("from_domain"), "reply_free": is_freemail(reply),
+    })
+
+
 def protocol() -> Column:
     """Layer 0: what the receiver's authentication says, and where replies and bounces go."""
     spf, dkim, dmarc = _status("spf"), _status("dkim"), _status("dmarc")
-    raw, org = F.coalesce(C("auth.raw"), F.lit("")), org_domain("from_domain")
+    raw, org = F.coalesce(C("auth.raw"), F.lit("")), C("org")
     checked, policy = raw != "", dmarc_policy(raw)
     failed, undecided = dmarc.isin(*FAIL), ~dmarc.isin("pass", *FAIL)
     strict = policy.isin("reject", "quarantine")
-    signer, reply, bounce = org_domain(C("auth.dkim_domain")), org_domain(domain_of("reply_to_addr")), org_domain(domain_of("return_path_addr"))
+    signer, reply, bounce = C("signer_org"), C("reply_org"), C("bounce_org")
     told = {"spf": spf, "dkim": dkim, "dmarc": dmarc}
     passed, forwarded = checked & (dmarc == "pass"), F.coalesce(C("auth.arc_present"), F.lit(False))
     diverted = (reply != "") & (org != "") & (reply != org)
@@ -58,8 +67,8 @@ def protocol() -> Column:
          finding("DKIM_UNALIGNED", 0, "medium", 0.50, say("It is signed by ", signer, ", not by ", org, "."), {"signer": signer, "from": org})),
         (checked & forwarded & (dmarc != "pass") & (spf.isin(*FAIL, *SOFT) | dkim.isin(*FAIL)), finding("ARC_FORWARDED", 0, "info", 0.55, "A forwarder vouches for it, which explains failed checks.", told, scope=[0])),
         (passed, finding("DMARC_PASS", 0, "info", 0.60, say("The message is proven to come from ", org, "."), told, scope=[0])),
-        (diverted & is_freemail(domain_of("reply_to_addr")) & ~is_freemail("from_domain"), finding("REPLY_TO_FREEMAIL", 0, "high", 0.70, say("Replies would go to a personal mailbox at ", reply, "."), away)),
-        (diverted & ~(is_freemail(domain_of("reply_to_addr")) & ~is_freemail("from_domain")), finding("REPLY_TO_OFFDOMAIN", 0, "medium", 0.45, say("Replies would go to ", reply, "."), away)),
+        (diverted & C("reply_free") & ~C("from_free"), finding("REPLY_TO_FREEMAIL", 0, "high", 0.70, say("Replies would go to a personal mailbox at ", reply, "."), away)),
+        (diverted & ~(C("reply_free") & ~C("from_free")), finding("REPLY_TO_OFFDOMAIN", 0, "medium", 0.45, say("Replies would go to ", reply, "."), away)),
         ((bounce != "") & (org != "") & (bounce != org) & ~passed, finding("RETURN_PATH_OFFDOMAIN", 0, "low", 0.30, say("Bounces go to ", bounce, "."), {"from": org, "to": bounce})),
     ]
     return gathered(*[F.when(when, what) for when, what in rules])
@@ -70,7 +79,7 @@ def identity(as_of: Column) -> Column:
     sender, target, near = C("canonical_email"), C("target"), C("facts")[C("from_domain")]["near"]
     inbound, outbound = F.coalesce(C("contact.inbound_count"), F.lit(0)), F.coalesce(C("contact.outbound_count"), F.lit(0))
     posing = target.isNotNull()
-    private = is_freemail("from_domain") & ~is_freemail(target["their_domain"])
+    private = C("from_free") & ~is_freemail(target["their_domain"])
     who = {"name": C("from_display"), "known": F.array_join("addresses", ", "), "trust": target["trust"]}
     shown = F.get(F.filter(emails_in("from_display"), lambda e: canonical_address(e) != sender), F.lit(0))
     trick = C("facts")[C("from_domain")]["trick"]
@@ -194,7 +203,7 @@ def page_findings() -> Column:
     def form(f: Column) -> Column:
         action = L.dissect(f["action"])
         told = {"action": F.substring(f["action"], 1, 200), "inputs": F.array_join(F.slice(f["inputs"], 1, 8), ", ")}
-        away = L.is_web(action) & (action["org"] != "") & (action["org"] != org_domain("from_domain"))
+        away = L.is_web(action) & (action["org"] != "") & (action["org"] != C("org"))
         return F.when(f["has_password"], finding("HTML_CREDENTIAL_FORM", 3, "critical", 0.90, "The message itself asks for a password.", told, hard="danger")).when(
             away, finding("HTML_FORM_OFFSITE", 3, "high", 0.68, say("A form sends what you type to ", action["org"], "."), told)
         )

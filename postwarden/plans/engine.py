@@ -95,7 +95,8 @@ def layers(as_of: Column, upto: int = 3) -> Column:
 def judged(context: DataFrame, as_of: Column | None = None, upto: int = 3) -> DataFrame:
     """Verdicts of the rule layers: message keys, findings, score, tier, headline, model_version."""
     as_of = F.col("received_at") if as_of is None else as_of
-    rows = context.withColumn("findings", layers(as_of, upto))
+    rows = R.with_orgs(context)
+    rows = rows.withColumn("findings", layers(as_of, upto))
     keep = ["message_id", "account_id", "gmail_id", "received_at", "from_addr", "from_display", "from_domain", "subject", "labels", "findings"]
     return with_verdict(rows.select(*keep))
 

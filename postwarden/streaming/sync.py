@@ -29,18 +29,18 @@ def mail_folder(spark: SparkSession, path: str, per_batch: int = 1000) -> DataFr
 def follow(changes: DataFrame, fetch, tables: Tables, checkpoint: str, every: str | None = None):
     """Applies a stream of change records to the messages table, batch by batch.
 
-    ``fetch(ids)`` gives the messages of inserted ids. The table is written under the batch's
-    number, so that a batch that runs again after a failure replaces its own result. Without
+    ``fetch(ids)`` gives the messages of inserted ids. Version 0 is the table as it was before;
+    batch n writes version n + 1, and a batch that runs again after a failure finds it there. Without
     ``every`` the stream ends when it has caught up.
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        if tables.last_batch("messages") >= number:
+        if tables.last_batch("messages") > number:
             return
         net = net_changes(batch).persist()
         try:
             fetched = fetch(net.where("action = 'insert'").select("gmail_id"))
-            tables.write("messages", apply_changes(tables.read("messages"), net, fetched), batch=number)
+            tables.write("messages", apply_changes(tables.read("messages"), net, fetched), batch=number + 1)
         finally:
             net.unpersist()
 
