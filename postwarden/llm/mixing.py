@@ -8,8 +8,8 @@
 3. A pattern that is to give F of its S words takes every document F // S times, and one more
    time those that come first in a seeded order, until F is reached. The cut in that order is
    found from two histograms of 1024 bins of the order's key, so no pattern is sorted or
-   gathered in one task; then documents fill what is left, the largest size class first, one
-   a class, new ones before repeats. The gap that remains is under the smallest candidate's size.
+   gathered in one task; then one document of each size class is offered, new ones before
+   repeats, and the offers whose sizes add up closest to what is left are taken.
 
 Defined cases: a null text has size 0 and is never taken; a null source is a source of its own,
 last in order; repeated rows count one by one and share their fate; empty tables give empty
@@ -108,6 +108,28 @@ def _pattern_frame(spark, rows: list[tuple], fields: str) -> DataFrame:
     return spark.createDataFrame(rows, f"at array<string>, {fields}")
 
 
+def filling(offers: list, need: int, most: int = 1 << 20) -> list[tuple]:
+    """(offer, copies) that come closest to ``need`` from below: largest first while it is over ``most``, then by subset sums."""
+    chosen, items = {}, []
+    for k, c in enumerate(offers):
+        for _ in range(c["spare"]):
+            if need > most and c["size"] <= need:
+                chosen[k] = chosen.get(k, 0) + 1
+                need -= c["size"]
+            else:
+                items.append((k, c["size"]))
+    if need <= most:
+        reached = [1]
+        for _, size in items:
+            reached.append(reached[-1] | (reached[-1] << size) & ((2 << need) - 1))
+        total = reached[-1].bit_length() - 1
+        for (k, size), before in zip(reversed(items), reversed(reached[:-1]), strict=True):
+            if not before >> total & 1:
+                chosen[k] = chosen.get(k, 0) + 1
+                total -= size
+    return [(offers[k], n) for k, n in chosen.items()]
+
+
 def select_documents(sized: DataFrame, given: dict[tuple, int], supply: dict[tuple, int]) -> DataFrame:
     """``sized`` (pattern, size, u, pick) with ``times``, how often each row is taken."""
     spark = sized.sparkSession
@@ -134,21 +156,18 @@ def select_documents(sized: DataFrame, given: dict[tuple, int], supply: dict[tup
     part = sized.join(F.broadcast(at), _same("pattern", F.col("at"))).drop("at")
     before = F.shiftright("u", 10) < F.col("edge")
     fits = part.where((F.col("size") > 0) & (F.col("size") <= F.col("need")) & (F.col("whole") + before.cast("int") < len(PASS_COSTS)))
-    classes = fits.groupBy("pattern", F.floor(8 * F.log2("size")).alias("class")).agg(F.min_by(F.struct("size", "u", "pick"), F.struct(before, "u", "pick")).alias("c"))
-    fill: dict[tuple, list] = {p: [] for p in supply}
-    left = dict(need)
+    spare = (len(PASS_COSTS) - F.col("whole") - before.cast("int")).alias("spare")
+    classes = fits.groupBy("pattern", F.floor(8 * F.log2("size")).alias("class")).agg(F.min_by(F.struct("size", "u", "pick", spare), F.struct(before, "u", "pick")).alias("c"))
+    offers: dict[tuple, list] = {p: [] for p in supply}
     for r in sorted(classes.collect(), key=lambda r: (-r["c"]["size"], r["c"]["u"])):  # at most some 300 classes a pattern
-        p = tuple(r["pattern"])
-        if r["c"]["size"] <= left[p]:
-            left[p] -= r["c"]["size"]
-            fill[p].append((r["c"]["u"], r["c"]["pick"]))
-    picks = [(list(p), u, k) for p in supply for u, k in fill[p]]
-    extra = spark.createDataFrame(picks, "of array<string>, fill_u long, fill_pick long")
+        offers[tuple(r["pattern"])].append(r["c"])
+    picks = [(list(p), c["u"], c["pick"], n) for p in supply for c, n in filling(offers[p], need[p])]
+    extra = spark.createDataFrame(picks, "of array<string>, fill_u long, fill_pick long, fill long")
     out = part.withColumn("before", before).join(
         F.broadcast(extra), _same("pattern", F.col("of")) & (F.col("u") == F.col("fill_u")) & (F.col("pick") == F.col("fill_pick")), "left"
     )
-    more = F.col("before").cast("long") + F.col("fill_u").isNotNull().cast("long")
-    return out.withColumn("times", F.when(F.col("size") > 0, F.col("whole") + more).otherwise(F.lit(0)).cast("long")).drop("whole", "edge", "need", "before", "of", "fill_u", "fill_pick")
+    more = F.col("before").cast("long") + F.coalesce("fill", F.lit(0))
+    return out.withColumn("times", F.when(F.col("size") > 0, F.col("whole") + more).otherwise(F.lit(0)).cast("long")).drop("whole", "edge", "need", "before", "of", "fill_u", "fill_pick", "fill")
 
 
 def _same(pattern: str, other: Column) -> Column:
