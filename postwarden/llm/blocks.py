@@ -9,6 +9,7 @@ block.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,15 @@ def block_keys(spark, n: int) -> list[int]:
     return [found[p] for p in range(n)]
 
 
+def give_back() -> None:
+    """Memory that a worker has freed, back to the system: workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Where the sorted 64-bit keys pass from one bucket to the next: buckets + 1 places."""
     edges = np.array([(r << 64) // buckets for r in range(1, buckets)], np.uint64)

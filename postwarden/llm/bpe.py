@@ -29,7 +29,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 
-from .blocks import rows
+from .blocks import give_back, rows
 from .common import table
 from .packing import opened, packed_blocks
 
@@ -138,7 +138,10 @@ def encode_blocks(docs: DataFrame, result, schema: str, path: str | None = None)
             sizes, ids = np.frombuffer(_spread(counts), np.uint32), _spread(ids)
             ids = np.frombuffer(ids, np.uint16 if len(ids) * 2 == int(sizes.sum(dtype=np.int64)) else np.uint32).astype("<u4").tobytes()
             codes |= zip(map(bytes.decode, flat[at[r] : at[r + 1]]), _cut_up(ids, sizes), strict=True)
-        return result(own, (b"".join(map(codes.__getitem__, words(x or ""))) for x in texts))
+        out = result(own, (b"".join(map(codes.__getitem__, words(x or ""))) for x in texts))
+        del codes, flat, texts
+        give_back()
+        return out
 
     sent = blocks.groupBy("block").applyInArrow(send, SENT)
     answers = sent.groupBy("bucket").applyInArrow(encode, ANSWER)

@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import give_back
 from .common import table
 
 BITS, MOST_ROWS, CUT, SEEN, SPREAD, DECAY, STEPS = 32, 8000, 0.8, 3, 4.5, 1e-5, 1000
@@ -197,6 +198,8 @@ def selected(docs: DataFrame, rated: DataFrame) -> DataFrame:
         for batch in batches:
             good = [x is not None and bool(logistic(weights[x].sum() - cuts[-1]) >= CUT) for x in (maker.of(v.as_py()) for v in batch.column(at))]
             yield batch.filter(pa.array(good, pa.bool_()))
+        del maker
+        give_back()
 
     return docs.mapInArrow(kept, docs.schema)
 

@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import give_back
 from .common import stored, table
 from .components import components
 from .hashing import mixed, windows, word_hashes
@@ -96,6 +97,8 @@ def _signatures(width: int):
                 bands.append(maker.bands(signature) if len(s) else np.empty(0, np.int64))
                 sketches.append(maker.sketch(signature))
             yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), _lists(bands), _lists(sketches)], names=["doc_id", "n_shingles", "cls", "bands", "sketch"])
+        del maker
+        give_back()
 
     return run
 
@@ -110,6 +113,7 @@ def _sets(width: int):
                     ids.append(doc.as_py())
                     sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["id", "set"])
+        give_back()
 
     return run
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import cuts, joined_bits, pack, rows, texts
+from .blocks import cuts, give_back, joined_bits, pack, rows, texts
 from .common import table
 from .hashing import windows, word_hashes
 from .packing import opened, packed_blocks
@@ -52,16 +52,23 @@ class Block:
 
     def __init__(self, docs: pa.Table, span: int, seed: int):
         self.span, self.seed = span, seed
-        self.docs = [(doc, text.split()) for doc, text in texts(docs)]
-        sizes = np.array([len(words) for _, words in self.docs], np.int64)
+        self.table = docs
+        ids, hashes = [], [np.empty(0, np.uint64)]
+        for doc, text in texts(docs):  # the words themselves are split again where they are needed, to hold one text's at a time
+            ids.append(doc)
+            hashes.append(word_hashes(text.split()))
+        sizes = np.array([len(h) for h in hashes[1:]], np.int64)
         self.begin = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        self.hashes = np.concatenate([np.empty(0, np.uint64), *(word_hashes(words) for _, words in self.docs)])
-        self.ids = np.array([-1 if doc is None else doc for doc, _ in self.docs], np.int64)
-        full = np.where([doc is None for doc, _ in self.docs], 0, np.maximum(sizes - span + 1, 0)).astype(np.int64) if len(sizes) else sizes
+        self.hashes = np.concatenate(hashes)
+        self.ids = np.array([-1 if doc is None else doc for doc in ids], np.int64)
+        full = np.where([doc is None for doc in ids], 0, np.maximum(sizes - span + 1, 0)).astype(np.int64) if len(sizes) else sizes
         #: where windows start, and whose they are
         self.owner = np.repeat(np.arange(len(sizes)), full)
         self.starts = np.arange(len(self.owner)) - np.repeat(np.cumsum(full) - full - self.begin[:-1], full)
 
+    def words(self):
+        return (text.split() for _, text in texts(self.table))
+
     def _runs(self):
         """The anchors of all windows, neighbours with one anchor once: their keys, owners and lengths."""
         low = anchors(self.hashes, self.span, self.seed)[self.starts] if len(self.starts) else np.empty(0, np.uint64)
@@ -205,17 +212,22 @@ def substring_dedup(docs: DataFrame, result, schema: str, span: int = SPAN, seed
 
     def seeds(t: pa.Table) -> pa.Table:
         keys, *_ = Block(opened(t), span, seed).seeds()
+        give_back()
         return _sent(t.column("block")[0].as_py(), cuts(keys, n), keys)
 
     def extend(key, t: pa.Table, answers: pa.Table) -> pa.Table:
         if not t.num_rows:
             return pa.table({"block": pa.array([], pa.int64()), "bucket": pa.array([], pa.int64()), **{c: pa.array([], pa.binary()) for c in ("a", "b", "doc")}})
         a, b, least, *_ = Block(opened(t), span, seed).windows(_elsewhere(_bits_of(answers, 1), n))
+        give_back()
         return _sent(key[0].as_py(), cuts(a, n), a, b, least)
 
     def finish(key, t: pa.Table, answers: pa.Table) -> pa.Table:
         own = Block(t := opened(t), span, seed)
-        return result(t, own, _covered(own, _bits_of(answers, 1), _bits_of(answers, 2), n))
+        out = result(t, own, _covered(own, _bits_of(answers, 1), _bits_of(answers, 2), n))
+        del own
+        give_back()
+        return out
 
     first = blocks.groupBy("block").applyInArrow(seeds, SENT).groupBy("bucket").applyInArrow(_meet_anchors, ANSWER)
     second = blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(extend, SENT).groupBy("bucket").applyInArrow(_meet_windows, ANSWER)
@@ -224,13 +236,14 @@ def substring_dedup(docs: DataFrame, result, schema: str, span: int = SPAN, seed
 
 def _digests(t: pa.Table, own: Block, covered: dict[int, np.ndarray]) -> pa.Table:
     removed, sha = [], []
-    for k, (_, words) in enumerate(own.docs):
+    counts = np.diff(own.begin)
+    for k, words in enumerate(own.words()):
         kept = words
         if k in covered:
             kept = [w for w, c in zip(words, covered[k].tolist(), strict=True) if not c]
         removed.append(len(words) - len(kept))
         sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-    return pa.table({"doc_id": t.column("doc_id"), "n_words": pa.array([len(w) for _, w in own.docs], pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
+    return pa.table({"doc_id": t.column("doc_id"), "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
 
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
@@ -242,7 +255,7 @@ def repeat_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """doc_id and the maximal repeats of each document, as arrays of first word and end."""
 
     def spans(t: pa.Table, own: Block, covered: dict[int, np.ndarray]) -> pa.Table:
-        found = [repeats(covered[k]) if k in covered else [] for k in range(len(own.docs))]
+        found = [repeats(covered[k]) if k in covered else [] for k in range(t.num_rows)]
         kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
         return pa.table({"doc_id": t.column("doc_id"), "repeats": pa.array([[{"first": a, "end": b} for a, b in x] for x in found], kind)})
 
