@@ -13,7 +13,8 @@ IPV4 = r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4
 IPV6 = r"^(?=.*:.*:)[0-9a-f:]+(?:%.*)?$"
 
 
-def _let(value: Column, body) -> Column:
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once a row."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
@@ -71,9 +72,9 @@ def dissect(href: Column, anchor: Column | None = None, source: Column | None =
 
     def link(u: Column) -> Column:
         noise = (u == "") | u.startswith("#") | F.lower(u).rlike("^(?:mailto|tel|sms|callto):")
-        return F.when(~noise, _let(_let(_let(split(u), parts), hosted), whole))
+        return F.when(~noise, let(let(let(split(u), parts), hosted), whole))
 
-    return _let(F.trim(F.coalesce(href, F.lit(""))), link)
+    return let(F.trim(F.coalesce(href, F.lit(""))), link)
 
 
 def is_web(link: Column) -> Column:
@@ -132,4 +133,4 @@ def claimed_host(link: Column) -> Column:
         return F.when(host.contains(".") & other, host)
 
     spoken = text.contains(" ") | (text == "") | (F.length(text) > 200)
-    return F.when(is_web(link) & ~spoken, _let(dissect(text), claim))
+    return F.when(is_web(link) & ~spoken, let(dissect(text), claim))

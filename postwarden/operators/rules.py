@@ -191,8 +191,10 @@ def link_findings(links: Column) -> Column:
     def each(link: Column) -> Column:
         return F.array_compact(F.array(*[F.when(when, what.cast(gathered_type()[6:-1])) for _, when, what in link_rules(link, C("facts"), verified, references)]))
 
-    every = F.flatten(F.transform(links, each))
-    return F.filter(every, lambda f, i: F.array_position(F.transform(every, lambda x: x["code"]), f["code"]) == i + 1)
+    def firsts(every: Column) -> Column:
+        return L.let(F.transform(every, lambda x: x["code"]), lambda codes: F.filter(every, lambda f, i: F.array_position(codes, f["code"]) == i + 1))
+
+    return L.let(F.flatten(F.transform(links, each)), firsts)
 
 
 def page_findings() -> Column:

@@ -165,7 +165,7 @@ def test_html(html, shown, unseen):
 
 @pytest.mark.parametrize("secret", ["GB29 NWBK 6016 1331 9268 19", "4111 1111 1111 1111", "12-34-56", "account: 12345678", "swift ABCDEFGH", "+44 20 7946 0958", "0x52908400098527886E0F7030069857D2E4169EE7", "https://x.com/reset?token=a1b2c3d4e5"])
 def test_redaction_hides(secret):
-    text = f"Please see {secret} by noon"
+    text = f"Please see {secret}. Until noon"
     assert not redaction.leaks(text, redaction.redact(text)) and "noon" in redaction.redact(text)
 
 
