@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.domains import org_domain
+
 
 def net_changes(changes: DataFrame) -> DataFrame:
     """One row a message of a batch (seq, gmail_id, kind, label_ids): delete beats insert, the last labels win."""
@@ -46,6 +48,18 @@ def advanced(offset: str | None, seen: str | None) -> str | None:
 def stale(intel: DataFrame, domains: DataFrame, as_of) -> DataFrame:
     """Domains whose registration data are missing or old: errors after 7 days, known ages after 30, unknown ages never."""
     held = domains.join(intel, "domain", "left")
-    days = F.datediff(F.lit(as_of), "checked_at")
+    days = F.datediff(F.lit(as_of).cast("date"), "checked_at")
     due = F.when(F.col("checked_at").isNull(), True).when(F.col("error").isNotNull(), days >= 7).when(F.col("created_at").isNull(), False).otherwise(days >= 30)
     return held.where(due).select(*domains.columns)
+
+
+def recovered(messages: DataFrame, listing: DataFrame, now, days: int = 30) -> DataFrame:
+    """After an offset has expired: listed ids of the last ``days`` that the table lacks. Removals and labels are not known then."""
+    recent = listing.where(F.col("received_at") >= F.lit(now).cast("timestamp") - F.expr(f"interval {days} days"))
+    return recent.join(messages.select("account_id", "gmail_id"), ["account_id", "gmail_id"], "left_anti")
+
+
+def domains_to_check(messages: DataFrame, intel: DataFrame, as_of, limit: int = 200) -> DataFrame:
+    """Sender organisations whose registration is due, those with the newest mail first, at most ``limit``."""
+    seen = messages.where("from_domain <> ''").groupBy(org_domain("from_domain").alias("domain")).agg(F.max("received_at").alias("last_seen"), F.count("*").alias("messages"))
+    return stale(intel, seen, as_of).orderBy(F.desc("last_seen"), "domain").limit(limit)

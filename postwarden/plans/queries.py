@@ -497,6 +497,22 @@ def domain_age(spark, sf_dir):
     return rows.withColumn("weight", F.when(C("age_days") <= 7, 0.72).when(C("age_days") <= 30, 0.62).when(C("age_days") <= 60, 0.40))
 
 
+@query("""SELECT o_orderkey AS domain FROM orders WHERE CASE WHEN o_orderstatus = 'F' THEN date_diff('day', o_orderdate::DATE, DATE '1998-08-10') >= 7 WHEN o_orderkey % 3 = 0 THEN false
+ ELSE date_diff('day', o_orderdate::DATE, DATE '1998-08-10') >= 30 END UNION ALL SELECT o_orderkey + 1000000000 FROM orders WHERE o_orderkey % 10 = 0""")
+def intel_due(spark, sf_dir):
+    o = T(spark, sf_dir, "orders")
+    intel = o.select(C("o_orderkey").alias("domain"), C("o_orderdate").alias("checked_at"), F.when(C("o_orderstatus") == "F", "timeout").alias("error"), F.when(C("o_orderkey") % 3 != 0, C("o_orderdate")).alias("created_at"))
+    domains = o.select(C("o_orderkey").alias("domain")).union(o.where("o_orderkey % 10 = 0").select(C("o_orderkey") + 1000000000))
+    return S.stale(intel, domains, "1998-08-10")
+
+
+@query("SELECT user_id AS account_id, event_id::VARCHAR AS gmail_id FROM events WHERE event_id % 2 = 1 AND ts >= (SELECT max(ts) FROM events) - INTERVAL 5 DAY")
+def offset_recovery(spark, sf_dir):
+    listing = T(spark, sf_dir, "events").select(C("user_id").alias("account_id"), C("event_id").cast("string").alias("gmail_id"), C("ts").alias("received_at"), "event_id")
+    now = listing.agg(F.max("received_at")).first()[0]
+    return S.recovered(listing.where("event_id % 2 = 0"), listing, now, days=5).select("account_id", "gmail_id")
+
+
 @query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS contacts FROM events GROUP BY event_type")
 def streaming_ingest(spark, sf_dir):
     from ..streaming.sync import drained
