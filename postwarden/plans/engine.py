@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import links as L
 from ..functions.addresses import canonical_address, name_key
+from ..functions.codes import payloads_of
 from ..functions.domains import org_domain
 from ..functions.mail import parsed
 from ..functions.markup import page
@@ -51,6 +52,15 @@ def views(mail: DataFrame) -> DataFrame:
     return rows if "qr_payloads" in rows.columns else rows.withColumn("qr_payloads", F.lit(None).cast("array<string>"))
 
 
+def with_codes(view: DataFrame, raw: DataFrame) -> DataFrame:
+    """Views with the codes read from their pictures; only messages that are next to only pictures fetch their raw bytes."""
+    pictured = F.exists("attachments", lambda a: a["content_type"].startswith("image/"))
+    thin = (F.length("page.visible_text") < 200) & (F.length(F.trim(F.coalesce("body_text", F.lit("")))) < 200)
+    wanted = view.where(pictured & thin).select("message_id", "account_id", "gmail_id")
+    read = wanted.join(raw.select("account_id", "gmail_id", "raw"), ["account_id", "gmail_id"]).select("message_id", payloads_of("raw").alias("_codes"))
+    return view.join(read, "message_id", "left").withColumn("qr_payloads", F.coalesce("_codes", "qr_payloads")).drop("_codes")
+
+
 def with_context(view: DataFrame, people: DataFrame, accounts: DataFrame, profiles: DataFrame | None = None, intel: DataFrame | None = None) -> DataFrame:
     """Views joined to what is known about their senders and hosts."""
     known = people.select("account_id", "canonical_email", F.struct("inbound_count", "outbound_count", "domain").alias("contact"))

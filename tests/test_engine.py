@@ -223,3 +223,17 @@ def test_scores_do_not_depend_on_partitions(spark, box):
 def test_plan_has_no_cartesian_product_and_reads_html_once(box):
     plan = engine.analyze(box["mail"], box["people"], box["accounts"])._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_unread_pictures_are_told(spark, box):
+    picture = b"From: a@b.example\r\nContent-Type: image/png; name=x.png\r\nContent-Transfer-Encoding: base64\r\n\r\niVBORw0KGgo=\r\n"
+    raw = spark.createDataFrame([(1, "p", ["INBOX"], dt.datetime(2025, 9, 1), bytearray(picture))], "account_id long, gmail_id string, label_ids array<string>, received_at timestamp, raw binary")
+    view = engine.with_codes(engine.views(engine.messages(raw)), raw)
+    found = engine.judged(engine.with_context(view, box["people"], box["accounts"])).first()
+    assert "QR_UNSCANNED_IMAGE" in codes(found)
+
+
+def test_registration_work_list(spark, box):
+    intel = spark.createDataFrame([("northwind.com", dt.datetime(2025, 1, 1), None, dt.datetime(2010, 1, 1))], "domain string, checked_at timestamp, error string, created_at timestamp")
+    due = sync.domains_to_check(box["mail"].where("not array_contains(labels, 'SENT')"), intel, "2025-01-05")
+    assert [r["domain"] for r in due.collect()] == ["northwind-payroll.com"]
