@@ -7,12 +7,16 @@
    more than ``max_patterns`` of them is an error, not a cut.
 3. A pattern that is to give F of its S words takes every document F // S times, and one more
    time those that come first in a seeded order, until F is reached. The cut in that order is
-   found from two histograms of 1024 bins of the order's key, so no pattern is sorted or
-   gathered in one task; then one document of each size class is offered, new ones before
-   repeats, and the offers whose sizes add up closest to what is left are taken.
+   found from three histograms of 1024 bins of the order's key, so no pattern is sorted or
+   gathered in one task. Where the order stops at documents that no longer fit, those larger
+   than what is missing are left out and the order goes on with the rest, to its end, and then
+   with repeats. After each cut one document of each size class is offered, new ones before
+   repeats, and the offers whose sizes add up closest to what is missing fill the last gap;
+   cuts end when less is missing than the smallest document that may still be taken.
 
 Defined cases: a null text has size 0 and is never taken; a null source is a source of its own,
-last in order; repeated rows count one by one and share their fate; empty tables give empty
+last in order; repeated rows count one by one and share their fate, and so do rows of one size
+without a doc_id; empty tables give empty
 results; further columns are ignored. The result depends on the rows and the seed alone.
 """
 
@@ -27,7 +31,10 @@ from .common import count_words, stored, table
 
 #: Costs of taking a pattern's words the first, second and third time.
 PASS_COSTS = (1, 2, 4)
-BINS = 1024
+#: The order's key has LEVELS digits of BINS values each.
+BINS, LEVELS = 1024, 3
+END = BINS**LEVELS
+STEPS = "steps array<struct<start: long, stop: long, most: long>>"
 SEED = 17
 
 
@@ -99,11 +106,6 @@ def route(supply: dict[tuple, int], quotas: dict, costs: tuple = PASS_COSTS) ->
     return given
 
 
-def _cut(df: DataFrame, level: int) -> DataFrame:
-    """Words by pattern and bin of the order's key at a level."""
-    return df.groupBy("pattern", F.shiftright(F.col("u"), 20 - 10 * level).bitwiseAND(BINS - 1).alias("bin")).agg(F.sum("size").alias("words"))
-
-
 def _pattern_frame(spark, rows: list[tuple], fields: str) -> DataFrame:
     return spark.createDataFrame(rows, f"at array<string>, {fields}")
 
@@ -130,44 +132,85 @@ def filling(offers: list, need: int, most: int = 1 << 20) -> list[tuple]:
     return [(offers[k], n) for k, n in chosen.items()]
 
 
-def select_documents(sized: DataFrame, given: dict[tuple, int], supply: dict[tuple, int]) -> DataFrame:
-    """``sized`` (pattern, size, u, pick) with ``times``, how often each row is taken."""
-    spark = sized.sparkSession
-    whole = {p: given[p] // supply[p] if supply[p] else 0 for p in supply}
-    need = {p: given[p] - whole[p] * supply[p] for p in supply}
-    edge: dict[tuple, int] = {p: 0 for p in supply}
-    for level in range(2):
-        at = _pattern_frame(spark, [(list(p), edge[p] << (10 if level else 0)) for p in supply], "edge long")
-        part = sized.join(F.broadcast(at), _same("pattern", F.col("at"))).drop("at")
+def _edges(sized: DataFrame, live: dict[tuple, tuple[int, int]]) -> dict[tuple, tuple[int, int]]:
+    """For patterns with (start, need): the first place of the order, from start on, where what fits ``need`` no longer fits the rest, and that rest."""
+    rest, edge, ends = {p: need for p, (_, need) in live.items()}, dict.fromkeys(live, 0), {}
+    for level in range(LEVELS):
+        at = _pattern_frame(sized.sparkSession, [(list(p), *live[p], edge[p]) for p in edge], "start long, most long, edge long")
+        part = sized.join(F.broadcast(at), _same("pattern", F.col("at"))).where((F.col("size") > 0) & (F.col("unit") <= F.col("most")) & (F.col("u") >= F.col("start")))
         if level:
-            part = part.where(F.shiftright("u", 20) == F.shiftright("edge", 10))
-        bins: dict[tuple, dict[int, int]] = {p: {} for p in supply}
-        for r in _cut(part, level).collect():  # at most BINS rows a pattern
+            part = part.where(F.shiftright("u", 10 * (LEVELS - level)) == F.col("edge"))
+        at_bin = F.shiftright("u", 10 * (LEVELS - 1 - level)).bitwiseAND(BINS - 1).alias("bin")
+        bins: dict[tuple, dict[int, int]] = {p: {} for p in edge}
+        for r in part.groupBy("pattern", at_bin).agg(F.sum("size").alias("words")).collect():  # at most BINS rows a pattern
             bins[tuple(r["pattern"])][r["bin"]] = r["words"]
-        for p in supply:
+        for p in list(edge):
             k = 0
-            while k < BINS and need[p] >= bins[p].get(k, 0):
-                need[p] -= bins[p].get(k, 0)
+            while k < BINS and rest[p] >= bins[p].get(k, 0):
+                rest[p] -= bins[p].get(k, 0)
                 k += 1
-            edge[p] = (edge[p] << 10) + k if level else k
-    # rows before the edge are taken once more; the best fits by size class, new ones first, fill the gap
-    rows = [(list(p), whole[p], edge[p], need[p]) for p in supply]
-    at = _pattern_frame(spark, rows, "whole long, edge long, need long")
-    part = sized.join(F.broadcast(at), _same("pattern", F.col("at"))).drop("at")
-    before = F.shiftright("u", 10) < F.col("edge")
-    fits = part.where((F.col("size") > 0) & (F.col("size") <= F.col("need")) & (F.col("whole") + before.cast("int") < len(PASS_COSTS)))
-    spare = (len(PASS_COSTS) - F.col("whole") - before.cast("int")).alias("spare")
-    classes = fits.groupBy("pattern", F.floor(8 * F.log2("size")).alias("class")).agg(F.min_by(F.struct("size", "u", "pick", spare), F.struct(before, "u", "pick")).alias("c"))
-    offers: dict[tuple, list] = {p: [] for p in supply}
+            edge[p] = edge[p] * BINS + k
+            if k == BINS:  # nothing that fits is left in the order
+                ends[p] = END
+                del edge[p]
+        if not edge:
+            break
+    return {p: (ends.get(p, edge.get(p)), rest[p]) for p in live}
+
+
+def _in_steps() -> Column:
+    """How often the order takes a row: the steps of its pattern that it lies in and is small enough for."""
+    return F.size(F.filter("steps", lambda s: (F.col("u") >= s["start"]) & (F.col("u") < s["stop"]) & (F.col("unit") <= s["most"])))
+
+
+def _offers(sized: DataFrame, state: list[tuple]) -> dict[tuple, tuple[list, int]]:
+    """By pattern, one document of each size class that still fits, new ones before repeats, and the words of the smallest."""
+    at = _pattern_frame(sized.sparkSession, state, f"whole long, need long, {STEPS}")
+    part = sized.join(F.broadcast(at), _same("pattern", F.col("at"))).withColumn("more", _in_steps())
+    spare = (len(PASS_COSTS) - F.col("whole") - F.col("more")).alias("spare")
+    fits = part.where((F.col("size") > 0) & (F.col("unit") <= F.col("need")) & (spare > 0))
+    one = F.struct(F.col("unit").alias("size"), "u", "pick", F.col("size").alias("row_size"), spare)
+    classes = fits.groupBy("pattern", F.floor(8 * F.log2("unit")).alias("class")).agg(F.min_by(one, F.struct("more", "u", "pick", "size")).alias("c"), F.min("unit").alias("least"))
+    found: dict[tuple, tuple[list, int]] = {}
     for r in sorted(classes.collect(), key=lambda r: (-r["c"]["size"], r["c"]["u"])):  # at most some 300 classes a pattern
-        offers[tuple(r["pattern"])].append(r["c"])
-    picks = [(list(p), c["u"], c["pick"], n) for p in supply for c, n in filling(offers[p], need[p])]
-    extra = spark.createDataFrame(picks, "of array<string>, fill_u long, fill_pick long, fill long")
-    out = part.withColumn("before", before).join(
-        F.broadcast(extra), _same("pattern", F.col("of")) & (F.col("u") == F.col("fill_u")) & (F.col("pick") == F.col("fill_pick")), "left"
-    )
-    more = F.col("before").cast("long") + F.coalesce("fill", F.lit(0))
-    return out.withColumn("times", F.when(F.col("size") > 0, F.col("whole") + more).otherwise(F.lit(0)).cast("long")).drop("whole", "edge", "need", "before", "of", "fill_u", "fill_pick", "fill")
+        offers, least = found.get(tuple(r["pattern"]), ([], r["least"]))
+        found[tuple(r["pattern"])] = [*offers, r["c"]], min(least, r["least"])
+    return found
+
+
+def select_documents(sized: DataFrame, given: dict[tuple, int], supply: dict[tuple, int]) -> DataFrame:
+    """``sized`` (pattern, size, unit, u, pick) with ``times``, how often each row is taken."""
+    spark = sized.sparkSession
+    whole = {p: given[p] // supply[p] if supply[p] else 0 for p in supply}
+    need = {p: given[p] - whole[p] * supply[p] for p in supply}
+    steps: dict[tuple, list] = {p: [] for p in supply}
+    best = {p: (need[p], [], []) for p in supply}  # what is missing, steps and fill of the closest choice so far
+    live = {p: (0, 0) for p in supply if need[p] > 0}  # extra copies already offered, start in the order
+    while live:
+        cuts = _edges(sized, {p: (start, need[p]) for p, (_, start) in live.items()})
+        for p, (stop, rest) in cuts.items():
+            layer, start = live[p]
+            steps[p] = [*steps[p], (start, stop, need[p])]
+            # a place whose documents fit one by one, but not together, is passed over
+            live[p] = (layer + 1, 0) if stop == END else (layer, stop + (rest == need[p]))
+            need[p] = rest
+        offered = _offers(sized, [(list(p), whole[p], need[p], steps[p]) for p in live])
+        for p in list(live):
+            offers, least = offered.get(p, ([], 0))
+            fill = filling(offers, need[p])
+            gap = need[p] - sum(c["size"] * n for c, n in fill)
+            if gap < best[p][0]:
+                best[p] = gap, steps[p], fill
+            if not offers or gap < least or whole[p] + live[p][0] >= len(PASS_COSTS):
+                del live[p]
+    at = _pattern_frame(spark, [(list(p), whole[p], best[p][1]) for p in supply], f"whole long, {STEPS}")
+    part = sized.join(F.broadcast(at), _same("pattern", F.col("at"))).drop("at")
+    picks = [(list(p), c["u"], c["pick"], c["row_size"], n) for p in supply for c, n in best[p][2]]
+    extra = spark.createDataFrame(picks, "of array<string>, fill_u long, fill_pick long, fill_size long, fill long")
+    mine = _same("pattern", F.col("of")) & (F.col("u") == F.col("fill_u")) & (F.col("pick") == F.col("fill_pick")) & (F.col("size") == F.col("fill_size"))
+    out = part.withColumn("more", _in_steps() + F.lit(0)).join(F.broadcast(extra), mine, "left")
+    times = F.col("whole") + F.col("more") + F.coalesce("fill", F.lit(0))
+    return out.withColumn("times", F.when(F.col("size") > 0, times).otherwise(F.lit(0)).cast("long")).drop("whole", "steps", "more", "of", "fill_u", "fill_pick", "fill_size", "fill")
 
 
 def _same(pattern: str, other: Column) -> Column:
@@ -181,13 +224,16 @@ def mix(docs: DataFrame, doc_id: str, text: str, members: Column, weights=None,
     weight; ``quotas`` may set the words of each source instead.
     """
     pattern = F.array_sort(F.array_distinct(members))
-    own = F.xxhash64(F.lit(seed), F.col(doc_id))
-    sized = stored(
-        docs.select(
-            F.col(doc_id).alias("doc_id"), pattern.alias("pattern"), count_words(F.col(text)).alias("size"),
-            own.bitwiseAND((1 << 30) - 1).alias("u"), F.shiftright(own, 30).alias("pick"),
-        )
-    )
+    rows = docs.select(F.col(doc_id).alias("doc_id"), pattern.alias("pattern"), count_words(F.col(text)).alias("size"))
+    own = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), "size")).otherwise(F.xxhash64(F.lit(seed), "doc_id"))
+    sized = stored(rows.select("*", own.bitwiseAND(END - 1).alias("u"), F.shiftright(own, 30).alias("pick")))
+    again = sized.groupBy("pattern", "u", "pick", "size").agg(F.sum("size").alias("unit")).where("unit > size")
+    again = stored(again.select(F.col("pattern").alias("of"), F.col("u").alias("u2"), F.col("pick").alias("pick2"), F.col("size").alias("size2"), "unit"))
+    if again.isEmpty():
+        sized = sized.withColumn("unit", F.col("size"))
+    else:  # repeated rows are taken or left together
+        same = _same("pattern", F.col("of")) & (F.col("u") == F.col("u2")) & (F.col("pick") == F.col("pick2")) & (F.col("size") == F.col("size2"))
+        sized = stored(sized.join(again, same, "left").select(*sized.columns, F.coalesce("unit", "size").alias("unit")))
     sums = sized.groupBy("pattern").agg(F.sum("size").alias("words")).limit(max_patterns + 1).collect()
     if len(sums) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns")

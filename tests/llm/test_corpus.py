@@ -132,6 +132,17 @@ def test_mix_meets_targets(spark):
     assert dict(zip(rows.doc_id, rows.taken, strict=True)) == dict(zip(again.doc_id, again.taken, strict=True))
 
 
+@pytest.mark.parametrize("target, copies", [(20_000, 1), (26_000, 1), (39_000, 1), (9_000, 3)])
+def test_mix_goes_on_after_a_long_document(spark, target, copies):
+    """What no longer fits is left out of the order; the short documents behind it are taken, and repeated rows together."""
+    rows = [(k, "w " * 10, "s") for k in range(2000) for _ in range(copies)] + [(5000 + k, "w " * 20_000, "s") for k in range(2)]
+    for seed in range(3):
+        taken, _ = mixing.mix(docs(spark, rows), "doc_id", "text", F.array("source"), quotas={"s": float(target)}, seed=seed)
+        found = taken.collect()
+        assert 0 <= target - sum(r["taken"] for r in found) < 10 * copies and max(r["times"] for r in found) <= 3
+        assert len({(r["doc_id"], r["times"]) for r in found}) == 2002
+
+
 def test_overlapping_sources(spark):
     rows = [(k, "w " * 20, "s") for k in range(90)]
     member = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("p"), F.lit("q"))).when(F.col("doc_id") % 3 == 1, F.array(F.lit("p"))).otherwise(F.array(F.lit("q")))
