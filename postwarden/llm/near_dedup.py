@@ -106,13 +106,14 @@ def _signatures(width: int):
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sets = [], []
+            ids, classes, sets = [], [], []
             for doc, text, cls in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 s = shingle_set(text.as_py(), width)
                 if xxhash.xxh3_128_digest(s.tobytes()) == cls.as_py():
                     ids.append(doc.as_py())
+                    classes.append(cls.as_py())
                     sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["id", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(classes, pa.binary()), pa.array(sets, pa.binary())], names=["id", "cls", "set"])
         give_back()
 
     return run
@@ -171,14 +172,27 @@ def _prefix_pairs(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return prefix.join(other, (F.col("token") == F.col("token2")) & (F.col("id") < F.col("id2")) & (F.col("label") != F.col("label2")) & enough).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
 
 
-def link_classes(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """Components (node, label) of the classes that have a link to another class."""
+def _class_sets(docs: DataFrame, sig: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(id, cls, set, own) of the classes ``wanted`` (rep, cls), each once however many rows hold it; ``own`` is a number of the class."""
+    texts = docs.join(wanted, F.col("doc_id") == F.col("rep")).select("doc_id", "text", "cls")
+    sets = texts.mapInArrow(_sets(width), "id long, cls binary, set binary")
+    rows = sig.select("doc_id", "cls").join(wanted.select("rep", F.col("cls").alias("c")), (F.col("doc_id") == F.col("rep")) & (F.col("cls") == F.col("c")), "left_semi")
+    again = stored(rows.groupBy("doc_id", "cls").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("i"), F.col("cls").alias("c")))
+    if not again.isEmpty():
+        sets = stored(sets)
+        same = (F.col("id") == F.col("i")) & (F.col("cls") == F.col("c"))
+        once = sets.join(again, same, "left_semi").groupBy("id", "cls").agg(F.min("set").alias("set"))
+        sets = sets.join(again, same, "left_anti").union(once)
+    return stored(sets.withColumn("own", F.monotonically_increasing_id()))
+
+
+def link_classes(docs: DataFrame, sig: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """Components (node, label) of the classes that have a link to another class; ``sig`` has a row (doc_id, cls) for each row of ``docs``."""
     keys = classes.select("rep", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("p")).where("c > 1").select(F.col("key").alias("k"), "p")
     members = stored(keys.join(shared, F.col("key") == F.col("k")).select("key", "rep", "p"))
     wanted = members.select("rep").distinct().join(classes.select(F.col("rep").alias("r"), "cls"), F.col("rep") == F.col("r")).select("rep", "cls")
-    texts = docs.join(wanted, F.col("doc_id") == F.col("rep")).select("doc_id", "text", "cls")
-    sets = stored(texts.mapInArrow(_sets(width), "id long, set binary"))
+    sets = _class_sets(docs, sig, wanted, width)
 
     # every member against its bucket's smallest
     facts = classes.select(F.col("rep").alias("r"), F.col("n_shingles").alias("n"), "sketch")
@@ -196,7 +210,13 @@ def link_classes(docs: DataFrame, classes: DataFrame, width: int, percent: int)
     live = stored(named.join(apart, F.col("key") == F.col("k"), "left_semi").select("rep", "label").distinct())
     if live.isEmpty():
         return labels
-    more = _verified(_prefix_pairs(live, sets, percent), sets, percent).where("linked").select("a", "b")
+    # a document with several texts has a set for each; here they count apart, under their own numbers
+    mine = sets.select(F.col("own").alias("id"), "set")
+    more = _verified(_prefix_pairs(sets.select("id", "own").join(live, F.col("id") == F.col("rep")).select(F.col("own").alias("rep"), "label"), mine, percent), mine, percent)
+    more = more.where("linked").select("a", "b")
+    for end in ("a", "b"):
+        of = sets.select(F.col("own").alias("o"), F.col("id").alias("i"))
+        more = more.join(of, F.col(end) == F.col("o")).withColumn(end, F.col("i")).drop("o", "i")
     return components(links.union(more))
 
 
@@ -210,7 +230,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     same = sig.select("doc_id", "n_shingles", "cls").join(classes.select(F.col("cls").alias("c"), "rep"), F.col("cls") == F.col("c"), "left")
     # rows that share a doc_id tie their classes together
     tied = real.join(classes.select(F.col("cls").alias("c"), "rep"), F.col("cls") == F.col("c")).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
-    labels = link_classes(docs, classes, width, percent)
+    labels = link_classes(docs, sig, classes, width, percent)
     tied = stored(tied)
     if not tied.isEmpty():
         labels = components(tied.union(labels.select("label", "node")))

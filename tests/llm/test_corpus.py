@@ -227,6 +227,17 @@ def test_near_duplicates_by_brute_force(spark, width):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in found)
 
 
+@pytest.mark.parametrize("twice", ["same text", "two texts"])
+def test_near_duplicates_with_repeated_rows(spark, twice):
+    """100 and 101 are near copies that meet only in buckets with smaller documents, none of them a near copy; a second row of 100 takes no link."""
+    shared = [f"s{k}" for k in range(100)]
+    rows = [(p, " ".join(shared + [f"p{p}x{k}" for k in range(16)]), "s") for p in range(60)]
+    rows += [(i, " ".join(shared + [f"d{i}x{k}" for k in range(10)]), "s") for i in (100, 101)]
+    rows.append(rows[60] if twice == "same text" else (100, " ".join(f"z{k}" for k in range(110)), "s"))
+    found = near_dedup.near_duplicates(docs(spark, rows), width=1).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in found) == sorted((i, 100 if i == 101 else i) for i, _, _ in rows)
+
+
 def test_prefix_filter_loses_no_pair(spark):
     random.seed(2)
     sets = {k: {random.randint(0, 60) for _ in range(random.randint(10, 40))} for k in range(60)}
