@@ -8,9 +8,13 @@ arguments name as {"$result": id}.
 
 Order. Levels follow the dependencies: a call comes after the results it names, a result after
 its call; levels are raised by joins until none changes, and what is still rising after as
-many rounds as ``most_levels`` is on a cycle. A linked result is placed directly after its
-call's message (or its own turn, if later), so that a conversation reads in topological order
-by (place, level, turn, role, text).
+many rounds as ``most_levels`` is on a cycle. A message with calls is placed at its own turn or,
+if later, at the last place of a result that they name; a linked result at its own turn or, if
+later, at the place of its call's message. Messages that depend on each other are settled in one
+task a group, with a few numbers a dependency. So a conversation reads in topological order by
+(place, level of the message, level of the call, turn, role, text). Calls of one message can't
+come after each other's results; they are written in order of their levels, and their results
+stay at their turns.
 
 Validation checks arguments against the tool's JSON schema (type, required, properties,
 additionalProperties, items, enum). Every message is one line of canonical JSON: keys sorted,
@@ -32,11 +36,13 @@ import json
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import stored, table
+from .components import components
 
 #: Schemas of the tools that calls are checked against; another name is "unknown".
 SCHEMAS: dict[str, dict] = {
@@ -46,6 +52,8 @@ SCHEMAS: dict[str, dict] = {
 }
 _KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 SPAN = 1024
+#: Dependencies settled in one task, or those of one group if it has more.
+DEALT = 50_000
 
 
 def canonical(value: Any) -> str:
@@ -124,12 +132,12 @@ def parsed(schemas: dict[str, dict]):
     return run
 
 
-def _message(role: str, text: str, calls, result_of: str | None, content: str | None) -> str:
+def _message(role: str, text: str, calls, result_of: str | None, content: str | None, order) -> str:
     message: dict = {"role": role}
     if result_of is not None:
         message |= {"tool_call_id": result_of, "content": json.loads(content)}
     elif len(calls):
-        message["tool_calls"] = [{"id": x["id"], "name": x["name"], "arguments": json.loads(x["arguments"])} for x in calls]
+        message["tool_calls"] = [{"id": x["id"], "name": x["name"], "arguments": json.loads(x["arguments"])} for x in (calls if order is None else [calls[k] for k in order])]
     else:
         message["content"] = text
     return canonical(message)
@@ -137,12 +145,80 @@ def _message(role: str, text: str, calls, result_of: str | None, content: str |
 
 def serialised():
     @F.pandas_udf("string")
-    def run(role: pd.Series, text: pd.Series, calls: pd.Series, result_of: pd.Series, content: pd.Series) -> pd.Series:
-        return pd.Series([_message(*row) for row in zip(role, text, calls, result_of, content, strict=True)], dtype=object)
+    def run(role: pd.Series, text: pd.Series, calls: pd.Series, result_of: pd.Series, content: pd.Series, order: pd.Series) -> pd.Series:
+        return pd.Series([_message(*row) for row in zip(role, text, calls, result_of, content, order, strict=True)], dtype=object)
 
     return run
 
 
+def _later(*turns: int | None) -> int | None:
+    return max((x for x in turns if x is not None), default=None)
+
+
+def _settled(t: pa.Table) -> pa.Table:
+    """Level, place and whether it is on a cycle, of each node of whole groups: strong components (Tarjan's), needs first."""
+    place, needs = {}, {}
+    for node, own, need, need_own, least in zip(*(t.column(c).to_pylist() for c in ("node", "own", "need", "need_own", "least")), strict=True):
+        place[node] = _later(place.get(node), own, least)
+        needs.setdefault(node, set())
+        if need is not None:
+            needs[node].add(need)
+            needs.setdefault(need, set())
+            place[need] = _later(place.get(need), need_own)
+    seen, low, stack, held, level, cyclic = {}, {}, [], set(), {}, {}
+
+    def enter(x: int) -> None:
+        seen[x] = low[x] = len(seen)
+        stack.append(x)
+        held.add(x)
+        path.append((x, iter(needs[x])))
+
+    for root in needs:
+        path: list = []
+        if root not in seen:
+            enter(root)
+        while path:
+            x, rest = path[-1]
+            for y in rest:
+                if y not in seen:
+                    enter(y)
+                    break
+                if y in held:
+                    low[x] = min(low[x], seen[y])
+            else:
+                path.pop()
+                if path:
+                    low[path[-1][0]] = min(low[path[-1][0]], low[x])
+                if low[x] == seen[x]:
+                    at = len(stack) - 1
+                    while stack[at] != x:
+                        at -= 1
+                    group = stack[at:]
+                    del stack[at:]
+                    held.difference_update(group)
+                    outside = {z for y in group for z in needs[y]}.difference(group)
+                    top, last = 1 + max((level[z] for z in outside), default=0), _later(*(place[y] for y in group), *(place[z] for z in outside))
+                    for y in group:
+                        level[y], place[y], cyclic[y] = top, last, len(group) > 1 or y in needs[y]
+    nodes = list(needs)
+    return pa.table([pa.array(nodes, pa.int64()), pa.array([level[x] for x in nodes], pa.int64()), pa.array([place[x] for x in nodes], pa.int64()), pa.array([cyclic[x] for x in nodes], pa.bool_())], names=["node", "level", "place", "cyclic"])
+
+
+def settle(links: DataFrame) -> DataFrame:
+    """(node, level, place, cyclic) of links (node, own, need, need_own, least): a node of turn own comes after its need, of turn need_own, and not before least.
+
+    Nodes that are linked over any number of steps form a group; a group is settled in one task.
+    """
+    links = stored(links)
+    n = links.count()
+    if not n:
+        return links.sparkSession.createDataFrame([], "node long, level long, place long, cyclic boolean")
+    groups = components(links.where("need is not null and need <> node").select(F.col("node").alias("a"), F.col("need").alias("b")))
+    dealt = links.join(groups.select(F.col("node").alias("g"), "label"), F.col("node") == F.col("g"), "left")
+    dealt = dealt.select("node", "own", "need", "need_own", "least", F.pmod(F.xxhash64(F.coalesce("label", "node")), F.lit(n // DEALT + 1)).alias("part"))
+    return stored(dealt.groupBy("part").applyInArrow(_settled, "node long, level long, place long, cyclic boolean"))
+
+
 def levels(calls: DataFrame, most_levels: int = 50) -> DataFrame:
     """(conv, id, level, cyclic) of calls (conv, id, needs): 1 for those that need no call, else one more than the highest they need."""
     needs = stored(calls.select("conv", "id", F.explode("needs").alias("need")))
@@ -162,32 +238,41 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict] = SCHEMAS, most_l
     base = messages.select(F.col("conv_id").alias("conv"), "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     base = base.groupBy("conv", "turn", "role", "text").agg(F.count("*").alias("copies"))
     base = stored(base.withColumn("p", parsed(schemas)("role", "text")).withColumn("row", F.xxhash64("conv", "turn", "role", "text")))
-    calls = base.select("conv", "turn", "row", F.explode("p.calls").alias("c")).select("conv", "turn", "row", "c.*")
+    calls = base.select("conv", "turn", "row", F.posexplode("p.calls").alias("pos", "c")).select("conv", "turn", "row", "pos", "c.*")
     first = calls.groupBy("conv", "id").agg(F.min_by(F.struct("turn", "row", "needs"), F.struct("turn", "row")).alias("x")).select("conv", "id", "x.*")
     ranks = levels(first, most_levels)
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    first = first.join(ranks.select(F.col("conv").alias("c1"), F.col("id").alias("i1"), "level", "cyclic"), same("conv", "c1") & same("id", "i1")).select("conv", "id", "turn", "level", "cyclic")
+    first = first.join(ranks.select(F.col("conv").alias("c1"), F.col("id").alias("i1"), "level", "cyclic"), same("conv", "c1") & same("id", "i1")).select("conv", "id", "turn", "row", "level", "cyclic")
     results = base.where("p.result_of is not null").select("conv", "turn", "row", F.col("p.result_of").alias("of"))
-    known = first.select(F.col("conv").alias("c1"), F.col("id").alias("i1"), F.col("turn").alias("call_turn"), "level", "cyclic")
-    linked = results.join(known, same("conv", "c1") & same("of", "i1"), "left").select("row", F.coalesce("call_turn", "turn").alias("at"), F.when(F.col("i1").isNull(), "orphan").otherwise("linked").alias("result_state"), (2 * F.col("level")).alias("result_level"))
+    # messages with calls, after those whose calls they need and after the results that these have
+    last = results.groupBy(F.col("conv").alias("rc"), F.col("of").alias("ro")).agg(F.max("turn").cast("long").alias("least"))
+    met = first.select(F.col("conv").alias("c1"), F.col("id").alias("i1"), F.col("row").alias("need"), F.col("turn").cast("long").alias("need_own"))
+    links = calls.select("conv", F.col("row").alias("node"), F.col("turn").cast("long").alias("own"), F.explode("needs").alias("named"))
+    links = links.join(met, same("conv", "c1") & same("named", "i1"), "left").join(last, same("conv", "rc") & same("named", "ro"), "left")
+    links = links.where("need is null or need <> node").where("need is not null or least is not null").select("node", "own", "need", "need_own", "least")
+    moved = settle(links).select(F.col("node").alias("m"), F.col("level").alias("m_level"), F.col("place").alias("m_place"))
+    known = first.join(moved, F.col("row") == F.col("m"), "left").select(F.col("conv").alias("c1"), F.col("id").alias("i1"), F.coalesce("m_place", "turn").alias("call_place"), F.coalesce("m_level", F.lit(1)).alias("m_level"), "level", "cyclic")
+    linked = results.join(known, same("conv", "c1") & same("of", "i1"), "left").select("row", F.coalesce("call_place", "turn").alias("at"), F.when(F.col("i1").isNull(), "orphan").otherwise("linked").alias("result_state"), (2 * F.col("m_level")).alias("result_level"), F.col("level").alias("of_level"))
     answered = results.groupBy(F.col("conv").alias("rc"), F.col("of").alias("ro")).agg(F.count("*").alias("n_results"))
     state = (
-        calls.join(known.drop("call_turn"), same("conv", "c1") & same("id", "i1"), "left").join(answered, same("conv", "rc") & same("id", "ro"), "left")
-        .groupBy("row").agg(F.count("*").alias("n_calls"), F.count_if("valid").alias("n_valid"), F.count("n_results").alias("n_answered"), F.max("level").alias("call_level"), F.bool_or("cyclic").alias("cyclic"))
+        calls.join(known.drop("call_place", "m_level"), same("conv", "c1") & same("id", "i1"), "left").join(answered, same("conv", "rc") & same("id", "ro"), "left")
+        .groupBy("row").agg(F.count("*").alias("n_calls"), F.count_if("valid").alias("n_valid"), F.count("n_results").alias("n_answered"), F.max("level").alias("call_level"), F.bool_or("cyclic").alias("cyclic"),
+             F.sort_array(F.collect_list(F.struct(F.coalesce("level", F.lit(1)).alias("level"), "pos"))).alias("order"))
     )
     out = base.join(linked.withColumnRenamed("row", "r1"), F.col("row") == F.col("r1"), "left").join(state.withColumnRenamed("row", "r2"), F.col("row") == F.col("r2"), "left")
-    place = F.greatest(F.col("turn"), F.coalesce("at", "turn"))
-    level = F.coalesce("result_level", 2 * F.col("call_level") - 1, F.lit(0))
-    out = out.withColumns({"place": place, "level": level, "range": F.floor(F.coalesce(place, F.lit(-1)) / SPAN)})
+    out = out.join(moved, F.col("row") == F.col("m"), "left")
+    place = F.greatest("turn", "at", "m_place")
+    level = F.coalesce("result_level", F.when(F.col("r2").isNotNull(), 2 * F.coalesce("m_level", F.lit(1)) - 1), F.lit(0))
+    out = out.withColumns({"place": place, "level": level, "sub": F.coalesce("of_level", "call_level", F.lit(0)), "range": F.floor(F.coalesce(place, F.lit(-1)) / SPAN)})
     sizes = out.groupBy("conv", "range").agg(F.count("*").alias("c"))
     before = Window.partitionBy("conv").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(F.col("conv").alias("oc"), F.col("range").alias("orange"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset"))
-    order = Window.partitionBy("conv", "range").orderBy(F.asc_nulls_first("place"), "level", "turn", "role", "text")
+    order = Window.partitionBy("conv", "range").orderBy(F.asc_nulls_first("place"), "level", "sub", "turn", "role", "text")
     placed = out.withColumn("k", F.row_number().over(order)).join(offsets, same("conv", "oc") & same("range", "orange"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return placed.select(
         F.col("conv").alias("conv_id"), (F.col("offset") + F.col("k") - 1).cast("long").alias("position"), "turn", "role",
-        serialised()("role", "text", "p.calls", "p.result_of", "p.content").alias("message"),
+        serialised()("role", "text", "p.calls", "p.result_of", "p.content", "order.pos").alias("message"),
         F.col("copies").cast("long").alias("copies"), zero("n_calls"), zero("n_valid"), zero("n_answered"),
         F.coalesce("result_state", F.lit("none")).alias("result_state"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"),
     )

@@ -304,6 +304,20 @@ def test_tool_calls_are_linked_and_ordered(spark):
     assert found[2]["message"] == '{"content":{"a":"é","z":1},"role":"tool","tool_call_id":"b"}'
 
 
+def called(*calls, **more):
+    return json.dumps({"tool_calls": [{"id": i, "name": "fetch", "arguments": {"url": [{"$result": n} for n in needs]}} for i, *needs in calls]} | more)
+
+
+def test_calls_come_after_results_of_later_turns(spark):
+    """b, of turn 1, names the result of a, of turn 3 and answered in turn 5; c names the result of b; z names a result without a call."""
+    result = lambda of: json.dumps({"tool_call_id": of, "content": of})
+    rows = [(1, 0, "assistant", called(["c", "b"]), "k"), (1, 1, "assistant", called(["b", "a"]), "k"), (1, 2, "tool", result("b"), "k"), (1, 3, "assistant", called(["a"]), "k"), (1, 5, "tool", result("a"), "k"), (1, 6, "user", "and?", "k"), (1, 4, "assistant", called(["z", "o"]), "k"), (1, 7, "tool", result("o"), "k")]
+    found = [json.loads(r["message"]) for r in chat(spark, rows)]
+    assert [m.get("tool_call_id") or m.get("content") or m["tool_calls"][0]["id"] for m in found] == ["a", "a", "b", "b", "c", "and?", "o", "z"] and found[0]["role"] == "assistant"
+    inside = chat(spark, [(1, 0, "assistant", called(["y", "x"], ["x"], ["w", "y"]), "k"), (1, 0, "tool", result("y"), "k"), (1, 0, "tool", result("x"), "k")])
+    assert [c["id"] for c in json.loads(inside[0]["message"])["tool_calls"]] == ["x", "y", "w"] and [json.loads(r["message"])["tool_call_id"] for r in inside[1:]] == ["x", "y"]
+
+
 def test_cycles_end(spark):
     calls = json.dumps({"tool_calls": [{"id": "a", "name": "fetch", "arguments": {"url": {"$result": "b"}}}, {"id": "b", "name": "fetch", "arguments": {"url": {"$result": "a"}}}]})
     frame = spark.createDataFrame([(1, 0, "assistant", calls)], "conv_id long, turn long, role string, text string")
