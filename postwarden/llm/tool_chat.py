@@ -7,8 +7,8 @@ are hash-joined by (conversation, identifier), and a call depends on the results
 arguments name as {"$result": id}.
 
 Order. Levels follow the dependencies: a call comes after the results it names, a result after
-its call; levels are raised by joins until none changes, and what is still rising after as
-many rounds as ``most_levels`` is on a cycle. A message with calls is placed at its own turn or,
+its call. Chains may have any length; only calls that need themselves, over however many steps,
+are on a cycle (they share a level), not those that follow one. A message with calls is placed at its own turn or,
 if later, at the last place of a result that they name; a linked result at its own turn or, if
 later, at the place of its call's message. Messages that depend on each other are settled in one
 task a group, with a few numbers a dependency. So a conversation reads in topological order by
@@ -219,28 +219,27 @@ def settle(links: DataFrame) -> DataFrame:
     return stored(dealt.groupBy("part").applyInArrow(_settled, "node long, level long, place long, cyclic boolean"))
 
 
-def levels(calls: DataFrame, most_levels: int = 50) -> DataFrame:
-    """(conv, id, level, cyclic) of calls (conv, id, needs): 1 for those that need no call, else one more than the highest they need."""
-    needs = stored(calls.select("conv", "id", F.explode("needs").alias("need")))
-    now = stored(calls.select("conv", "id", F.lit(1).alias("level")))
-    for k in range(most_levels + 1):
-        of = now.select(F.col("conv").alias("c2"), F.col("id").alias("i2"), F.col("level").alias("l2"))
-        up = needs.join(of, F.col("conv").eqNullSafe(F.col("c2")) & (F.col("need") == F.col("i2"))).groupBy("conv", "id").agg((F.max("l2") + 1).alias("up"))
-        up = up.select(F.col("conv").alias("c3"), F.col("id").alias("i3"), "up")
-        raised = stored(now.join(up, F.col("conv").eqNullSafe(F.col("c3")) & (F.col("id") == F.col("i3")), "left").select("conv", "id", F.greatest("level", "up").alias("level"), F.coalesce(F.col("up") > F.col("level"), F.lit(False)).alias("rising")))
-        if raised.where("rising").isEmpty() or k == most_levels:
-            return raised.select("conv", "id", "level", F.col("rising").alias("cyclic"))
-        now = raised.select("conv", "id", "level")
+def levels(calls: DataFrame) -> DataFrame:
+    """(conv, id, level, cyclic) of calls (conv, id, needs): 1 for those that need no call, else one more than the highest they need; those of a cycle share one."""
+    keyed = calls.select("conv", "id", "needs", F.xxhash64("conv", "id").alias("node"))
+    of = keyed.select(F.col("conv").alias("c2"), F.col("id").alias("i2"), F.col("node").alias("need"))
+    needs = keyed.select("conv", "node", F.explode("needs").alias("named")).join(of, F.col("conv").eqNullSafe(F.col("c2")) & (F.col("named") == F.col("i2")))
+    none = F.lit(None).cast("long")
+    ranks = settle(needs.select("node", none.alias("own"), "need", none.alias("need_own"), none.alias("least"))).select(F.col("node").alias("n2"), "level", "cyclic")
+    return keyed.join(ranks, F.col("node") == F.col("n2"), "left").select("conv", "id", F.coalesce("level", F.lit(1)).alias("level"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
 
 
 def format_chats(messages: DataFrame, schemas: dict[str, dict] = SCHEMAS, most_levels: int = 50) -> DataFrame:
-    """One row a distinct message: conv_id, position, turn, role, message (canonical JSON), copies, and the states of its calls and result."""
+    """One row a distinct message: conv_id, position, turn, role, message (canonical JSON), copies, and the states of its calls and result.
+
+    ``most_levels`` is still taken, but nothing is cut at it.
+    """
     base = messages.select(F.col("conv_id").alias("conv"), "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     base = base.groupBy("conv", "turn", "role", "text").agg(F.count("*").alias("copies"))
     base = stored(base.withColumn("p", parsed(schemas)("role", "text")).withColumn("row", F.xxhash64("conv", "turn", "role", "text")))
     calls = base.select("conv", "turn", "row", F.posexplode("p.calls").alias("pos", "c")).select("conv", "turn", "row", "pos", "c.*")
     first = calls.groupBy("conv", "id").agg(F.min_by(F.struct("turn", "row", "needs"), F.struct("turn", "row")).alias("x")).select("conv", "id", "x.*")
-    ranks = levels(first, most_levels)
+    ranks = levels(first)
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     first = first.join(ranks.select(F.col("conv").alias("c1"), F.col("id").alias("i1"), "level", "cyclic"), same("conv", "c1") & same("id", "i1")).select("conv", "id", "turn", "row", "level", "cyclic")
     results = base.where("p.result_of is not null").select("conv", "turn", "row", F.col("p.result_of").alias("of"))

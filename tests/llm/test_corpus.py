@@ -324,6 +324,14 @@ def test_cycles_end(spark):
     assert tool_chat.format_chats(frame, most_levels=3).first()["cyclic"]
 
 
+def test_long_chains_are_no_cycles(spark):
+    """70 calls in a chain are in order and on no cycle; of p and q, which need each other, and r, which follows them, only r is not on one."""
+    rows = [(1, 100 - k, "assistant", called([f"k{k}", f"k{k - 1}"]), "k") for k in range(70)] + [(1, 100 - k, "tool", json.dumps({"tool_call_id": f"k{k}", "content": k}), "k") for k in range(70)]
+    found = chat(spark, rows + [(2, 0, "assistant", called(["p", "q"]), "k"), (2, 1, "assistant", called(["q", "p"]), "k"), (2, 2, "assistant", called(["r", "q"]), "k")])
+    assert [r["cyclic"] for r in found] == [False] * 140 + [True, True, False]
+    assert [json.loads(r["message"]).get("content") for r in found[:140] if r["role"] == "tool"] == list(range(70))
+
+
 def test_odd_chats(spark):
     rows = [(None, 0, "user", "x", "k"), (1, None, None, None, "k"), (1, 0, "assistant", "{not json", "k"), (1, 1, "tool", '{"tool_call_id": 1}', "k"), (1, 2, "assistant", '{"tool_calls": 5}', "k")]
     found = chat(spark, rows)
