@@ -18,7 +18,9 @@ stay at their turns.
 
 Validation checks arguments against the tool's JSON schema (type, required, properties,
 additionalProperties, items, enum). Every message is one line of canonical JSON: keys sorted,
-no blanks, characters unescaped.
+no blanks, characters unescaped. Every key of a call's, a result's and their message's object is
+kept; a "role" in it that differs from the row's is kept as "_role". What is listed as a call but is
+no object with an id is kept as it is, counts among the calls, is never valid and links to nothing.
 
 Positions in a conversation are counted in two steps (sums over ranges of places, then rows
 within a range), so that no conversation is sorted whole in one task.
@@ -99,54 +101,65 @@ def _object(text: str) -> dict | None:
     return found if isinstance(found, dict) else None
 
 
-PARSED = "struct<calls: array<struct<id: string, name: string, arguments: string, valid: boolean, needs: array<string>>>, result_of: string, content: string>"
+PARSED = "struct<calls: array<struct<id: string, valid: boolean, needs: array<string>>>, result_of: string>"
 
 
-def _parse(role: str, text: str, schemas: dict[str, dict]) -> dict:
-    none = {"calls": [], "result_of": None, "content": None}
+def _read(role: str, text: str) -> tuple[str, dict]:
+    """("calls", "result" or "plain", the text's object)."""
     found = _object(text) if role in ("assistant", "tool") else None
-    if found is None:
-        return none
-    if role == "tool" and "tool_call_id" in found:
-        return none | {"result_of": str(found["tool_call_id"]), "content": canonical(found.get("content"))}
-    calls = found.get("tool_calls") if role == "assistant" else None
-    if not isinstance(calls, list):
-        return none
+    if found is not None and role == "tool" and "tool_call_id" in found:
+        return "result", found
+    if found is not None and role == "assistant" and isinstance(found.get("tool_calls"), list) and found["tool_calls"]:
+        return "calls", found
+    return "plain", {}
+
+
+def _call(call: Any) -> dict | None:
+    """A call with id and name as strings and its arguments read, every further key as it is; none for what is not an object with an id."""
+    if not isinstance(call, dict) or "id" not in call:
+        return None
+    arguments = call.get("arguments")
+    if isinstance(arguments, str):
+        arguments = _object(arguments) or {"": arguments}
+    return call | {"id": str(call["id"]), "name": str(call.get("name")), "arguments": arguments}
+
+
+def _parse(role: str, text: str, schemas: dict[str, dict]) -> dict:
+    kind, found = _read(role, text)
     out = []
-    for c in calls:
-        if not isinstance(c, dict) or "id" not in c:
-            continue
-        arguments = c.get("arguments")
-        if isinstance(arguments, str):
-            arguments = _object(arguments) or {"": arguments}
-        name = str(c.get("name"))
-        out.append({"id": str(c["id"]), "name": name, "arguments": canonical(arguments), "valid": name in schemas and fits(arguments, schemas[name]), "needs": sorted(set(named_results(arguments)))})
-    return none | {"calls": out}
+    for c in map(_call, found["tool_calls"] if kind == "calls" else ()):
+        if c is None:
+            out.append({"id": None, "valid": False, "needs": []})
+        else:
+            valid = c["name"] in schemas and fits(c["arguments"], schemas[c["name"]])
+            out.append({"id": c["id"], "valid": valid, "needs": sorted(set(named_results(c["arguments"])))})
+    return {"calls": out, "result_of": str(found["tool_call_id"]) if kind == "result" else None}
 
 
 def parsed(schemas: dict[str, dict]):
     @F.pandas_udf(PARSED)
     def run(role: pd.Series, text: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_parse(r, t, schemas) for r, t in zip(role, text, strict=True)], columns=["calls", "result_of", "content"])
+        return pd.DataFrame([_parse(r, t, schemas) for r, t in zip(role, text, strict=True)], columns=["calls", "result_of"])
 
     return run
 
 
-def _message(role: str, text: str, calls, result_of: str | None, content: str | None, order) -> str:
-    message: dict = {"role": role}
-    if result_of is not None:
-        message |= {"tool_call_id": result_of, "content": json.loads(content)}
-    elif len(calls):
-        message["tool_calls"] = [{"id": x["id"], "name": x["name"], "arguments": json.loads(x["arguments"])} for x in (calls if order is None else [calls[k] for k in order])]
-    else:
-        message["content"] = text
-    return canonical(message)
+def _message(role: str, text: str, order) -> str:
+    kind, found = _read(role, text)
+    if kind == "plain":
+        return canonical({"role": role, "content": text})
+    message = found | {"role": role}
+    if found.get("role", role) != role:
+        message["_role"] = found["role"]
+    if kind == "result":
+        return canonical({"content": None} | message | {"tool_call_id": str(found["tool_call_id"])})
+    return canonical(message | {"tool_calls": [_call(found["tool_calls"][k]) or found["tool_calls"][k] for k in order]})
 
 
 def serialised():
     @F.pandas_udf("string")
-    def run(role: pd.Series, text: pd.Series, calls: pd.Series, result_of: pd.Series, content: pd.Series, order: pd.Series) -> pd.Series:
-        return pd.Series([_message(*row) for row in zip(role, text, calls, result_of, content, order, strict=True)], dtype=object)
+    def run(role: pd.Series, text: pd.Series, order: pd.Series) -> pd.Series:
+        return pd.Series([_message(*row) for row in zip(role, text, order, strict=True)], dtype=object)
 
     return run
 
@@ -238,7 +251,7 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict] = SCHEMAS, most_l
     base = base.groupBy("conv", "turn", "role", "text").agg(F.count("*").alias("copies"))
     base = stored(base.withColumn("p", parsed(schemas)("role", "text")).withColumn("row", F.xxhash64("conv", "turn", "role", "text")))
     calls = base.select("conv", "turn", "row", F.posexplode("p.calls").alias("pos", "c")).select("conv", "turn", "row", "pos", "c.*")
-    first = calls.groupBy("conv", "id").agg(F.min_by(F.struct("turn", "row", "needs"), F.struct("turn", "row")).alias("x")).select("conv", "id", "x.*")
+    first = calls.where("id is not null").groupBy("conv", "id").agg(F.min_by(F.struct("turn", "row", "needs"), F.struct("turn", "row")).alias("x")).select("conv", "id", "x.*")
     ranks = levels(first)
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     first = first.join(ranks.select(F.col("conv").alias("c1"), F.col("id").alias("i1"), "level", "cyclic"), same("conv", "c1") & same("id", "i1")).select("conv", "id", "turn", "row", "level", "cyclic")
@@ -271,7 +284,7 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict] = SCHEMAS, most_l
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return placed.select(
         F.col("conv").alias("conv_id"), (F.col("offset") + F.col("k") - 1).cast("long").alias("position"), "turn", "role",
-        serialised()("role", "text", "p.calls", "p.result_of", "p.content", "order.pos").alias("message"),
+        serialised()("role", "text", "order.pos").alias("message"),
         F.col("copies").cast("long").alias("copies"), zero("n_calls"), zero("n_valid"), zero("n_answered"),
         F.coalesce("result_state", F.lit("none")).alias("result_state"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"),
     )

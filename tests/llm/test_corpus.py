@@ -332,6 +332,17 @@ def test_long_chains_are_no_cycles(spark):
     assert [json.loads(r["message"]).get("content") for r in found[:140] if r["role"] == "tool"] == list(range(70))
 
 
+def test_chats_keep_all_content(spark):
+    """Text beside calls, further keys, and calls that can't be linked are kept; the latter are not valid."""
+    odd = [{"name": "search", "arguments": {"query": "x"}}, 5, {"id": "a", "type": "function", "name": "search", "arguments": {"query": "x"}}]
+    rows = [(1, 0, "assistant", json.dumps({"content": "Let me look", "tool_calls": odd, "role": "bot", "at": 3}), "k"), (1, 1, "tool", json.dumps({"tool_call_id": "a", "content": 1, "is_error": True}), "k"), (1, 2, "assistant", json.dumps({"content": "x", "tool_calls": [None]}), "k")]
+    found = chat(spark, rows)
+    assert json.loads(found[0]["message"]) == {"role": "assistant", "_role": "bot", "content": "Let me look", "tool_calls": odd, "at": 3}
+    assert json.loads(found[1]["message"]) == {"role": "tool", "tool_call_id": "a", "content": 1, "is_error": True} and found[1]["result_state"] == "linked"
+    assert json.loads(found[2]["message"]) == {"role": "assistant", "content": "x", "tool_calls": [None]}
+    assert [(r["n_calls"], r["n_valid"], r["n_answered"]) for r in found] == [(3, 1, 1), (0, 0, 0), (1, 0, 0)]
+
+
 def test_odd_chats(spark):
     rows = [(None, 0, "user", "x", "k"), (1, None, None, None, "k"), (1, 0, "assistant", "{not json", "k"), (1, 1, "tool", '{"tool_call_id": 1}', "k"), (1, 2, "assistant", '{"tool_calls": 5}', "k")]
     found = chat(spark, rows)
