@@ -7,7 +7,8 @@ hold is boilerplate: it is removed everywhere but in the document with the small
 document that loses more than ``max_lost`` of its words is depleted and not kept.
 
 Defined cases: a null text has no words and fails the base rules; a null host is a host of
-its own; repeated rows of a document are one document to the count and each gets its row;
+its own; repeated rows of a document are one document to the count and each gets its row; rows
+without a doc_id are not counted as documents;
 empty tables give empty results; further columns are ignored.
 """
 
@@ -84,7 +85,8 @@ def line_table(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
 
 def boilerplate(lines: DataFrame, hosts: DataFrame, min_docs: int, max_share: float) -> DataFrame:
     """Lines above the limits: host, h, n_docs and the document that keeps the line."""
-    counts = lines.where("first = 1").groupBy("host", "h").agg(F.count("*").alias("n_docs"), F.min("doc").alias("keeper")).where(F.col("n_docs") > min_docs)
+    holders = lines.where("first = 1").select("host", "h", "doc").distinct()
+    counts = holders.groupBy("host", "h").agg(F.count("doc").alias("n_docs"), F.min("doc").alias("keeper")).where(F.col("n_docs") > min_docs)
     sizes = hosts.withColumnRenamed("host", "of")
     return counts.join(sizes, F.col("host").eqNullSafe(F.col("of"))).where(F.col("n_docs") > max_share * F.col("host_docs")).select("host", "h", "n_docs", "keeper")
 
@@ -95,7 +97,7 @@ def apply_line_rules(
     """doc_id, the base counts, base_failed, kept, removed_words and n_removed_lines of each row."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(host).alias("host"))
     lines = line_table(docs, "doc_id", "text", "host")
-    bad = boilerplate(lines, docs.groupBy("host").agg(F.count("*").alias("host_docs")), min_docs, max_share)
+    bad = boilerplate(lines, docs.select("host", "doc_id").distinct().groupBy("host").agg(F.count("doc_id").alias("host_docs")), min_docs, max_share)
     bad = bad.select(F.col("host").alias("bad_host"), F.col("h").alias("bad_h"), "keeper")
     hit = lines.join(bad, F.col("host").eqNullSafe(F.col("bad_host")) & (F.col("h") == F.col("bad_h"))).where(~F.col("doc").eqNullSafe(F.col("keeper")))
     once = hit.groupBy("doc", "body", "h").agg((F.sum("w") / F.sum("first")).alias("w"), (F.count("*") / F.sum("first")).alias("lines"))

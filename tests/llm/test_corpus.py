@@ -57,6 +57,15 @@ def test_line_rules_keep_the_first_holder(spark):
     assert found[100]["base_failed"] and not found[100]["kept"]
 
 
+@pytest.mark.parametrize("more, removed", [(19, 0), (20, 1)])
+def test_line_rules_count_a_repeated_document_once(spark, more, removed):
+    """A document in 30 rows is one holder of its lines, and one document of its host."""
+    body = lambda k: " ".join(f"word{chr(97 + k)}{chr(97 + j)}" for j in range(25))
+    rows = [(0, f"the shared line\n{body(0)}", "h")] * 30 + [(k, f"the shared line\n{body(k)}", "h") for k in range(1, more + 1)]
+    found = line_rules.apply_line_rules(docs(spark, rows), max_share=0.9).collect()
+    assert len(found) == len(rows) and {r["n_removed_lines"] for r in found if r["doc_id"]} == {removed} and {r["n_removed_lines"] for r in found if not r["doc_id"]} == {0}
+
+
 def test_repeated_words_by_brute_force(spark):
     random.seed(3)
     rows = [(k, " ".join(random.choice("ab c d".split()) for _ in range(random.randint(0, 60))), "s") for k in range(60)]
