@@ -15,7 +15,9 @@ end is k rows a query and task.
 Defined cases: vectors null, zero, holding null or non-finite components, or of another
 length than most take no part, and neither do rows with a null vec_id; equal scores go to the
 smaller vec_id; fewer than k candidates give fewer rows; rows that share a vec_id are
-candidates each, but never of a query with that id; an empty table gives an empty result.
+candidates each, but never of a query with that id; equal rows (vec_id and vector) are one query,
+with k rows at most, and rows of one vec_id with different vectors a query each; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -145,7 +147,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_
     """query_id, rank, vec_id, score of the k nearest of each row for which ``queries`` (on ``id``) holds."""
     use = usable(vectors, vec_id, embedding)
     index = build_index(use)
-    asked = stored(use.where(queries))
+    asked = stored(use.where(queries).distinct())
     n_blocks, shares = max(1, -(-asked.count() // QUERIES)), shuffle_partitions(vectors.sparkSession)
     blocks = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")).groupBy("block").applyInArrow(_blocked, "block int, q_ids binary, q_vectors binary")
     # each pair of a query block and an index chunk meets once; a block is copied to every share of the chunks

@@ -281,6 +281,16 @@ def test_neighbours_with_odd_vectors(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.col("id") % 50 == 0).count() == 0
 
 
+def test_neighbours_of_repeated_queries(spark):
+    """Equal query rows are one query: k different neighbours; another vector under the same vec_id is a query of its own."""
+    v = np.random.default_rng(2).standard_normal((40, 8))
+    rows = [(k, x.tolist()) for k, x in enumerate(v)] + [(0, v[0].tolist())] * 4 + [(0, v[1].tolist())]
+    found = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") == 0).collect()
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = [(rank, int(i)) for q in (0, 1) for rank, i in enumerate((i for i in np.argsort(-(unit @ unit[q]), kind="stable") if i), 1) if rank <= 5]
+    assert sorted((r["rank"], r["vec_id"]) for r in found) == sorted(want)
+
+
 def test_bpe_as_the_library_does(spark):
     coder, _ = bpe.tokenizer(bpe.vocabulary_path())
     random.seed(4)
