@@ -6,15 +6,15 @@ JSON object {"tool_call_id", "content"}. Calls and results are rows of their own
 are hash-joined by (conversation, identifier), and a call depends on the results that its
 arguments name as {"$result": id}.
 
-Order. Levels follow the dependencies: a call comes after the results it names, a result after
-its call. Chains may have any length; only calls that need themselves, over however many steps,
-are on a cycle (they share a level), not those that follow one. A message with calls is placed at its own turn or,
-if later, at the last place of a result that they name; a linked result at its own turn or, if
-later, at the place of its call's message. Messages that depend on each other are settled in one
-task a group, with a few numbers a dependency. So a conversation reads in topological order by
-(place, level of the message, level of the call, turn, role, text). Calls of one message can't
-come after each other's results; they are written in order of their levels, and their results
-stay at their turns.
+Order. Messages with calls, results and calls are nodes of one graph: a result needs the message
+of its call and the results that the call names; a message needs the results that its calls name,
+but for those of its own calls, which are written with it. A node's place is its own turn or, if
+later, the last place of what it needs; its level is one more than the highest it needs. By
+(place, level, turn, role, text) a conversation reads in topological order, over any number of
+turns and in chains of any length. Calls inside a message are written in order of their levels.
+Nodes that depend on each other are settled in one task a group, with a few numbers a dependency;
+nodes on a cycle share place and level. ``cyclic`` tells of calls that need their own results,
+over however many steps, not of those that follow a cycle.
 
 Validation checks arguments against the tool's JSON schema (type, required, properties,
 additionalProperties, items, enum). Every message is one line of canonical JSON: keys sorted,
@@ -28,13 +28,17 @@ within a range), so that no conversation is sorted whole in one task.
 Defined cases: a null text is an empty text; a null role is "unknown"; rows with a null
 conv_id or turn keep them and sort first; equal rows of a conversation are one message with
 ``copies`` of them; a repeated identifier links to its first call; results without a call are
-orphans and calls without a result open; text that is not such JSON is plain; an empty table
-gives an empty result.
+orphans and calls without a result open; an empty table gives an empty result. Text that is not
+such JSON is plain, and so is JSON that other parsers may refuse: NaN, Infinity, numbers beyond
+a double's range, nesting of more than ``DEEPEST`` levels. Escaped lone surrogates become U+FFFD.
 """
 
 from __future__ import annotations
 
+import functools
 import json
+import math
+import re
 from typing import Any
 
 import pandas as pd
@@ -56,6 +60,9 @@ _KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "null":
 SPAN = 1024
 #: Dependencies settled in one task, or those of one group if it has more.
 DEALT = 50_000
+#: Levels of arrays and objects that a text may nest.
+DEEPEST = 200
+_SURROGATE = re.compile(r"\\u[dD][89a-fA-F]")
 
 
 def canonical(value: Any) -> str:
@@ -69,7 +76,7 @@ def fits(value: Any, schema: dict) -> bool:
     kind = schema.get("type")
     if kind in _KINDS and not isinstance(value, _KINDS[kind]):
         return False
-    if kind in ("integer", "number") and (isinstance(value, bool) or not isinstance(value, (int, float)) or kind == "integer" and value != int(value)):
+    if kind in ("integer", "number") and (isinstance(value, bool) or not isinstance(value, (int, float)) or kind == "integer" and value % 1 != 0):
         return False
     if "enum" in schema and value not in schema["enum"]:
         return False
@@ -84,21 +91,47 @@ def fits(value: Any, schema: dict) -> bool:
 
 
 def named_results(value: Any) -> list[str]:
-    if isinstance(value, dict):
-        if set(value) == {"$result"}:
-            return [str(value["$result"])]
-        return [x for v in value.values() for x in named_results(v)]
-    return [x for v in value for x in named_results(v)] if isinstance(value, list) else []
+    """The identifiers under {"$result": id}, wherever they stand."""
+    found, rest = [], [value]
+    while rest:
+        x = rest.pop()
+        if isinstance(x, dict) and set(x) == {"$result"}:
+            found.append(str(x["$result"]))
+        elif isinstance(x, (dict, list)):
+            rest.extend(x.values() if isinstance(x, dict) else x)
+    return found
+
+
+def _nests_deep(value: Any) -> bool:
+    layer = [value]
+    for _ in range(DEEPEST):
+        layer = [y for x in layer if isinstance(x, (dict, list)) for y in (x.values() if isinstance(x, dict) else x)]
+        if not layer:
+            return False
+    return any(isinstance(x, (dict, list)) for x in layer)
+
+
+def _refused(name: str) -> None:
+    raise ValueError(f"not JSON: {name}")
+
+
+def _finite(digits: str) -> float:
+    value = float(digits)
+    return value if math.isfinite(value) else _refused(digits)
 
 
 def _object(text: str) -> dict | None:
     if not text.lstrip().startswith("{"):
         return None
     try:
-        found = json.loads(text)
+        found = json.loads(text, parse_constant=_refused, parse_float=_finite)
+        if not isinstance(found, dict) or text.count("[") + text.count("{") > DEEPEST and _nests_deep(found):
+            return None
+        if _SURROGATE.search(text):
+            found = json.loads(json.dumps(found, ensure_ascii=False).encode("utf-16", "surrogatepass").decode("utf-16", "replace"))
     except (ValueError, RecursionError):
         return None
-    return found if isinstance(found, dict) else None
+    return found
 
 
 PARSED = "struct<calls: array<struct<id: string, valid: boolean, needs: array<string>>>, result_of: string>"
@@ -171,13 +204,10 @@ def _later(*turns: int | None) -> int | None:
 def _settled(t: pa.Table) -> pa.Table:
     """Level, place and whether it is on a cycle, of each node of whole groups: strong components (Tarjan's), needs first."""
     place, needs = {}, {}
-    for node, own, need, need_own, least in zip(*(t.column(c).to_pylist() for c in ("node", "own", "need", "need_own", "least")), strict=True):
-        place[node] = _later(place.get(node), own, least)
-        needs.setdefault(node, set())
-        if need is not None:
-            needs[node].add(need)
-            needs.setdefault(need, set())
-            place[need] = _later(place.get(need), need_own)
+    for node, own, need, need_own in zip(*(t.column(c).to_pylist() for c in ("node", "own", "need", "need_own")), strict=True):
+        place[node], place[need] = _later(place.get(node), own), _later(place.get(need), need_own)
+        needs.setdefault(node, set()).add(need)
+        needs.setdefault(need, set())
     seen, low, stack, held, level, cyclic = {}, {}, [], set(), {}, {}
 
     def enter(x: int) -> None:
@@ -218,7 +248,7 @@ def _settled(t: pa.Table) -> pa.Table:
 
 
 def settle(links: DataFrame) -> DataFrame:
-    """(node, level, place, cyclic) of links (node, own, need, need_own, least): a node of turn own comes after its need, of turn need_own, and not before least.
+    """(node, level, place, cyclic) of links (node, own, need, need_own): a node of turn own comes after its need, of turn need_own.
 
     Nodes that are linked over any number of steps form a group; a group is settled in one task.
     """
@@ -226,20 +256,18 @@ def settle(links: DataFrame) -> DataFrame:
     n = links.count()
     if not n:
         return links.sparkSession.createDataFrame([], "node long, level long, place long, cyclic boolean")
-    groups = components(links.where("need is not null and need <> node").select(F.col("node").alias("a"), F.col("need").alias("b")))
-    dealt = links.join(groups.select(F.col("node").alias("g"), "label"), F.col("node") == F.col("g"), "left")
-    dealt = dealt.select("node", "own", "need", "need_own", "least", F.pmod(F.xxhash64(F.coalesce("label", "node")), F.lit(n // DEALT + 1)).alias("part"))
+    if n <= DEALT:  # one task has room for all groups
+        dealt = links.withColumn("part", F.lit(0).cast("long"))
+    else:
+        groups = components(links.where("need <> node").select(F.col("node").alias("a"), F.col("need").alias("b")))
+        dealt = links.join(groups.select(F.col("node").alias("g"), "label"), F.col("node") == F.col("g"), "left")
+        dealt = dealt.select("node", "own", "need", "need_own", F.pmod(F.xxhash64(F.coalesce("label", "node")), F.lit(n // DEALT + 1)).alias("part"))
     return stored(dealt.groupBy("part").applyInArrow(_settled, "node long, level long, place long, cyclic boolean"))
 
 
-def levels(calls: DataFrame) -> DataFrame:
-    """(conv, id, level, cyclic) of calls (conv, id, needs): 1 for those that need no call, else one more than the highest they need; those of a cycle share one."""
-    keyed = calls.select("conv", "id", "needs", F.xxhash64("conv", "id").alias("node"))
-    of = keyed.select(F.col("conv").alias("c2"), F.col("id").alias("i2"), F.col("node").alias("need"))
-    needs = keyed.select("conv", "node", F.explode("needs").alias("named")).join(of, F.col("conv").eqNullSafe(F.col("c2")) & (F.col("named") == F.col("i2")))
-    none = F.lit(None).cast("long")
-    ranks = settle(needs.select("node", none.alias("own"), "need", none.alias("need_own"), none.alias("least"))).select(F.col("node").alias("n2"), "level", "cyclic")
-    return keyed.join(ranks, F.col("node") == F.col("n2"), "left").select("conv", "id", F.coalesce("level", F.lit(1)).alias("level"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
+def _link(rows: DataFrame, node: str, own: str | None, need: str, need_own: str | None) -> DataFrame:
+    turn = lambda c: (F.lit(None) if c is None else F.col(c)).cast("long")
+    return rows.select(F.col(node).alias("node"), turn(own).alias("own"), F.col(need).alias("need"), turn(need_own).alias("need_own"))
 
 
 def format_chats(messages: DataFrame, schemas: dict[str, dict] = SCHEMAS, most_levels: int = 50) -> DataFrame:
@@ -247,46 +275,59 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict] = SCHEMAS, most_l
 
     ``most_levels`` is still taken, but nothing is cut at it.
     """
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     base = messages.select(F.col("conv_id").alias("conv"), "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     base = base.groupBy("conv", "turn", "role", "text").agg(F.count("*").alias("copies"))
-    base = stored(base.withColumn("p", parsed(schemas)("role", "text")).withColumn("row", F.xxhash64("conv", "turn", "role", "text")))
-    calls = base.select("conv", "turn", "row", F.posexplode("p.calls").alias("pos", "c")).select("conv", "turn", "row", "pos", "c.*")
-    first = calls.where("id is not null").groupBy("conv", "id").agg(F.min_by(F.struct("turn", "row", "needs"), F.struct("turn", "row")).alias("x")).select("conv", "id", "x.*")
-    ranks = levels(first)
-    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    first = first.join(ranks.select(F.col("conv").alias("c1"), F.col("id").alias("i1"), "level", "cyclic"), same("conv", "c1") & same("id", "i1")).select("conv", "id", "turn", "row", "level", "cyclic")
-    results = base.where("p.result_of is not null").select("conv", "turn", "row", F.col("p.result_of").alias("of"))
-    # messages with calls, after those whose calls they need and after the results that these have
-    last = results.groupBy(F.col("conv").alias("rc"), F.col("of").alias("ro")).agg(F.max("turn").cast("long").alias("least"))
-    met = first.select(F.col("conv").alias("c1"), F.col("id").alias("i1"), F.col("row").alias("need"), F.col("turn").cast("long").alias("need_own"))
-    links = calls.select("conv", F.col("row").alias("node"), F.col("turn").cast("long").alias("own"), F.explode("needs").alias("named"))
-    links = links.join(met, same("conv", "c1") & same("named", "i1"), "left").join(last, same("conv", "rc") & same("named", "ro"), "left")
-    links = links.where("need is null or need <> node").where("need is not null or least is not null").select("node", "own", "need", "need_own", "least")
-    moved = settle(links).select(F.col("node").alias("m"), F.col("level").alias("m_level"), F.col("place").alias("m_place"))
-    known = first.join(moved, F.col("row") == F.col("m"), "left").select(F.col("conv").alias("c1"), F.col("id").alias("i1"), F.coalesce("m_place", "turn").alias("call_place"), F.coalesce("m_level", F.lit(1)).alias("m_level"), "level", "cyclic")
-    linked = results.join(known, same("conv", "c1") & same("of", "i1"), "left").select("row", F.coalesce("call_place", "turn").alias("at"), F.when(F.col("i1").isNull(), "orphan").otherwise("linked").alias("result_state"), (2 * F.col("m_level")).alias("result_level"), F.col("level").alias("of_level"))
-    answered = results.groupBy(F.col("conv").alias("rc"), F.col("of").alias("ro")).agg(F.count("*").alias("n_results"))
+    base = stored(base.withColumn("p", parsed(schemas)("role", "text")).withColumn("row", F.monotonically_increasing_id()))
+    calls = base.select("conv", "turn", "row", F.xxhash64("role", "text").alias("tie"), F.posexplode("p.calls").alias("pos", "c")).select("conv", "turn", "row", "tie", "pos", "c.*")
+    first = calls.where("id is not null").groupBy("conv", "id").agg(F.min_by(F.struct("turn", "row", "needs"), F.struct("turn", "tie", "row", "pos")).alias("x"))
+    first = first.select("conv", "id", "x.*")
+    results = base.where("p.result_of is not null").select("conv", "turn", "row", F.col("p.result_of").alias("result_of"))
+    # a result without a call can still be named: its identifier stands for a call without a message
+    orphans = results.select("conv", F.col("result_of").alias("id")).distinct().join(first.select(F.col("conv").alias("c1"), F.col("id").alias("i1")), same("conv", "c1") & same("id", "i1"), "left_anti")
+    first = first.unionByName(orphans, allowMissingColumns=True)
+    first = stored(first.withColumn("call", -1 - F.monotonically_increasing_id()))  # messages are counted from 0, calls from -1
+    of = first.select(F.col("conv").alias("c1"), F.col("id").alias("i1"), F.col("call").alias("of_call"), F.col("row").alias("of_row"), F.col("turn").alias("of_turn"), F.col("needs").alias("of_needs"))
+    named = lambda rows: rows.join(of.drop("of_needs"), same("conv", "c1") & same("named", "i1"))
+
+    # calls alone, for their levels and cycles
+    needs = named(first.select("conv", F.col("call").alias("node"), F.explode("needs").alias("named"))).where("of_row is not null")
+    ranks = settle(_link(needs, "node", None, "of_call", None)).select(F.col("node").alias("n"), "level", "cyclic")
+    first = first.join(ranks, F.col("call") == F.col("n"), "left").select("conv", "id", F.coalesce("level", F.lit(1)).alias("level"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
+
+    # messages, results and calls together, for the order
+    linked = stored(results.join(of, same("conv", "c1") & same("result_of", "i1")).drop("c1", "i1", "result_of"))
+    links = [
+        _link(named(calls.select("conv", "turn", "row", F.explode("needs").alias("named"))).where("of_row is null or row <> of_row"), "row", "turn", "of_call", None),
+        _link(linked.where("of_row is not null"), "row", "turn", "of_row", "of_turn"),
+        _link(named(linked.select("conv", "turn", "row", F.explode("of_needs").alias("named"))), "row", "turn", "of_call", None),
+        _link(linked, "of_call", None, "row", "turn"),
+        _link(of.where("of_row is not null"), "of_call", None, "of_row", "of_turn"),
+    ]
+    order = settle(functools.reduce(DataFrame.union, links)).where("node >= 0").select(F.col("node").alias("m"), F.col("level").alias("m_level"), F.col("place").alias("m_place"))
+
+    answered = results.groupBy(F.col("conv").alias("rc"), F.col("result_of").alias("ro")).agg(F.count("*").alias("n_results"))
+    ranked = first.select(F.col("conv").alias("c2"), F.col("id").alias("i2"), "level", "cyclic")
     state = (
-        calls.join(known.drop("call_place", "m_level"), same("conv", "c1") & same("id", "i1"), "left").join(answered, same("conv", "rc") & same("id", "ro"), "left")
-        .groupBy("row").agg(F.count("*").alias("n_calls"), F.count_if("valid").alias("n_valid"), F.count("n_results").alias("n_answered"), F.max("level").alias("call_level"), F.bool_or("cyclic").alias("cyclic"),
+        calls.join(ranked, same("conv", "c2") & same("id", "i2"), "left").join(answered, same("conv", "rc") & same("id", "ro"), "left")
+        .groupBy(F.col("row").alias("r2")).agg(F.count("*").alias("n_calls"), F.count_if("valid").alias("n_valid"), F.count("n_results").alias("n_answered"), F.bool_or("cyclic").alias("cyclic"),
              F.sort_array(F.collect_list(F.struct(F.coalesce("level", F.lit(1)).alias("level"), "pos"))).alias("order"))
     )
-    out = base.join(linked.withColumnRenamed("row", "r1"), F.col("row") == F.col("r1"), "left").join(state.withColumnRenamed("row", "r2"), F.col("row") == F.col("r2"), "left")
-    out = out.join(moved, F.col("row") == F.col("m"), "left")
-    place = F.greatest("turn", "at", "m_place")
-    level = F.coalesce("result_level", F.when(F.col("r2").isNotNull(), 2 * F.coalesce("m_level", F.lit(1)) - 1), F.lit(0))
-    out = out.withColumns({"place": place, "level": level, "sub": F.coalesce("of_level", "call_level", F.lit(0)), "range": F.floor(F.coalesce(place, F.lit(-1)) / SPAN)})
+    met = linked.where("of_row is not null").select(F.col("row").alias("r1"), F.lit("linked").alias("result_state"))
+    out = base.join(met, F.col("row") == F.col("r1"), "left").join(state, F.col("row") == F.col("r2"), "left").join(order, F.col("row") == F.col("m"), "left")
+    out = out.withColumns({"place": F.coalesce("m_place", "turn"), "level": F.coalesce("m_level", F.lit(0))}).withColumn("range", F.floor(F.coalesce("place", F.lit(-1)) / SPAN))
     sizes = out.groupBy("conv", "range").agg(F.count("*").alias("c"))
     before = Window.partitionBy("conv").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(F.col("conv").alias("oc"), F.col("range").alias("orange"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset"))
-    order = Window.partitionBy("conv", "range").orderBy(F.asc_nulls_first("place"), "level", "sub", "turn", "role", "text")
-    placed = out.withColumn("k", F.row_number().over(order)).join(offsets, same("conv", "oc") & same("range", "orange"))
+    within = Window.partitionBy("conv", "range").orderBy(F.asc_nulls_first("place"), "level", "turn", "role", "text")
+    placed = out.withColumn("k", F.row_number().over(within)).join(offsets, same("conv", "oc") & same("range", "orange"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    result_state = F.coalesce("result_state", F.when(F.col("p.result_of").isNotNull(), "orphan"), F.lit("none"))
     return placed.select(
         F.col("conv").alias("conv_id"), (F.col("offset") + F.col("k") - 1).cast("long").alias("position"), "turn", "role",
         serialised()("role", "text", "order.pos").alias("message"),
         F.col("copies").cast("long").alias("copies"), zero("n_calls"), zero("n_valid"), zero("n_answered"),
-        F.coalesce("result_state", F.lit("none")).alias("result_state"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"),
+        result_state.alias("result_state"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"),
     )
 
 
