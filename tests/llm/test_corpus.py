@@ -378,17 +378,87 @@ def test_schemas(value, schema, ok):
     assert tool_chat.fits(value, schema) is ok
 
 
-def test_forward_sums_all_segmentations():
-    vocabulary = {"▁": 1, "a": 2, "b": 3, "ab": 4, "▁a": 5}
-    chance = np.array([1e-7, 0.2, 0.3, 0.1, 0.25, 0.15])[:, None]
-
-    def brute(text):
-        if not text:
-            return 1.0
-        return sum(chance[vocabulary[text[:n]], 0] * brute(text[n:]) for n in range(1, len(text) + 1) if text[:n] in vocabulary)
-
-    for word in ("ab", "aab", "bab", "b"):
-        assert np.exp(language_id.word_logs([word], chance, vocabulary))[0, 0] == pytest.approx(brute("▁" + word))
+SMALL = {"▁": 1, "a": 2, "b": 3, "ab": 4, "▁a": 5, "abbab": 6}
+
+
+def all_ways(text):
+    """Every segmentation, as lists of piece ids; 0 for a character that no piece covers."""
+    if not text:
+        return [[]]
+    heads = [(n, SMALL[text[:n]]) for n in range(1, len(text) + 1) if text[:n] in SMALL] + ([(1, 0)] if text[0] not in SMALL else [])
+    return [[k, *rest] for n, k in heads for rest in all_ways(text[n:])]
+
+
+@pytest.mark.parametrize("word", ["ab", "aab", "bab", "b", "abbabcab", "xyz"])
+def test_forward_sums_all_segmentations(word):
+    chance = np.array([1e-7, 0.2, 0.3, 0.1, 0.2, 0.15, 0.05])
+    want = np.log(sum(np.prod(chance[way]) for way in all_ways("▁" + word)))
+    assert language_id.word_logs([word], chance[:, None], SMALL)[0, 0] == pytest.approx(want)
+    assert language_id._long_log(word, chance[:, None], SMALL)[0] == pytest.approx(want)
+
+
+def test_words_of_any_length():
+    """From 1 to 200 letters, and one of 30,000: plain sums of logarithms agree with both passes."""
+    path = language_id.default_path()
+    vocabulary = language_id.pieces(path)
+    rng = np.random.default_rng(8)
+    chance = rng.random((len(vocabulary) + 1, 2)) ** 8
+    chance /= chance.sum(axis=0)
+    chance[0] = 1e-7
+    logs, longest = np.log(chance), max(map(len, vocabulary))
+
+    def brute(word):
+        text, ahead = "▁" + word, [np.zeros(2)]
+        for j in range(1, len(text) + 1):
+            ways = [ahead[i] + logs[k] for i in range(max(0, j - longest), j) if (k := vocabulary.get(text[i:j], 0 if i == j - 1 else None)) is not None]
+            ahead.append(np.logaddexp.reduce(ways, axis=0))
+        return ahead[-1]
+
+    letters = "relationship professional international the of and straße été 漢"
+    words = ["".join(letters[i % len(letters)] for i in range(n, 2 * n)).replace(" ", "") or "a" for n in [*range(1, 200, 3), 30_000]]
+    np.testing.assert_allclose(language_id.word_logs(words, chance, vocabulary), [brute(w) for w in words], rtol=1e-9)
+    assert longest == max(len(p) for p in vocabulary) and "▁relationship" in vocabulary
+
+
+def test_learning_is_plain_expectation_maximisation():
+    counts = {"ab": 5, "abbab": 3, "b": 2, "ac": 1}
+    found = language_id.learn(counts, SMALL, rounds=3)
+    chance = np.full(7, 0.05)
+    for w, n in counts.items():
+        text = "▁" + w
+        for i, j in itertools.combinations(range(len(text) + 1), 2):
+            k = SMALL.get(text[i:j], 0 if j == i + 1 else None)
+            chance[k] += n if k is not None else 0
+    for step in range(3):
+        if step:
+            seen = np.full(7, 0.05)
+            for w, n in counts.items():
+                ways = all_ways("▁" + w)
+                share = np.array([np.prod(chance[way]) for way in ways])
+                for way, p in zip(ways, share / share.sum(), strict=True):
+                    np.add.at(seen, way, n * p)
+            chance = seen
+        chance = chance / chance.sum()
+        chance[0] = language_id.UNKNOWN
+    np.testing.assert_allclose(found, chance, rtol=1e-9)
+
+
+def test_posteriors_by_brute_force():
+    """Texts of repeated, long and odd words; few scores are remembered, so that they are cleared in between."""
+    rng, prior = np.random.default_rng(5), np.log([3.0, 1.0, 2.0])
+    chance = rng.random((7, 3)) / 7
+    scorer = language_id.Scorer(chance, prior, SMALL)
+    scorer.logs = scorer.logs[:5]
+    random.seed(6)
+    texts = [" ".join("".join(random.choice("aAbBcé") for _ in range(random.choice([1, 3, 90]))) for _ in range(random.randint(1, 8))) for _ in range(40)] + [None, "½ ² 12_"]
+    for group in ([t] for t in texts):
+        (found,) = scorer.posteriors(group)
+        words = [w for w in (group[0] or "").lower().split() if w.isalpha()]
+        if not words:
+            assert found is None
+            continue
+        total = prior + language_id.word_logs(words, chance, SMALL).sum(axis=0)
+        np.testing.assert_allclose(found, np.exp(total - total.max()) / np.exp(total - total.max()).sum(), rtol=1e-9)
 
 
 def test_languages_held_out(spark):
@@ -398,8 +468,8 @@ def test_languages_held_out(spark):
 
 
 def test_language_of_nothing(spark):
-    found = {r["doc_id"]: r for r in language_id.identify(docs(spark, [(1, None, "s"), (2, "123 !", "s"), (3, "the words of it " * 9, "s"), (4, "and more of the same " * 9, "s")])).collect()}
-    assert found[1]["lang_pred"] == found[2]["lang_pred"] == "und" and found[1]["score"] == 0.0
+    found = {r["doc_id"]: r for r in language_id.identify(docs(spark, [(1, None, "s"), (2, "123 !", "s"), (5, "½ ²", "s"), (3, "the words of it " * 9, "s"), (4, "and more of the same " * 9, "s")])).collect()}
+    assert found[1]["lang_pred"] == found[2]["lang_pred"] == found[5]["lang_pred"] == "und" and found[1]["score"] == 0.0
 
 
 def test_pipeline(spark):
