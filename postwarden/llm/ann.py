@@ -6,18 +6,23 @@ with its code, as a unit vector, is its correction scalar. For a unit query q, <
 estimates the cosine, and with very high probability the error is at most
 SIGMAS * sqrt(1 - f*f) / f / sqrt(D - 1).
 
-Search. Queries in blocks meet the index in chunks. In a chunk, the vectors with the best
-estimates are scored exactly; their k-th best score then bars every vector whose estimate plus
-bound is below it, and the rest are scored exactly, in double precision, on the original
+Search. The index is dealt into shares and stands still: a chunk of it moves once. Queries, one
+in fifty vectors or fewer, are copied to every share in blocks. In a chunk, the vectors with the
+best estimates are scored exactly; their k-th best score then bars every vector whose estimate
+plus bound is below it, and the rest are scored exactly, in double precision, on the original
 vectors. A task keeps its k best of each query over all its chunks, so what is merged in the
-end is k rows a query and task.
+end is k rows a query and task. Original vectors lie beside the codes: at a few dozen
+dimensions the bounds are wide, and a join of what passes them would move more than the vectors.
 
-Defined cases: vectors null, zero, holding null or non-finite components, or of another
-length than most take no part, and neither do rows with a null vec_id; equal scores go to the
-smaller vec_id; fewer than k candidates give fewer rows; rows that share a vec_id are
+Vectors are first divided by the power of two of their largest component, which is exact, so that
+neither products nor norms leave the range of doubles.
+
+Defined cases: vectors null, zero, or holding null or non-finite components take no part, and
+neither do rows with a null vec_id; a query meets the vectors of its own length only; equal
+scores go to the smaller vec_id; fewer than k candidates give fewer rows; rows that share a vec_id are
 candidates each, but never of a query with that id; equal rows (vec_id and vector) are one query,
-with k rows at most, and rows of one vec_id with different vectors a query each; an empty table
-gives an empty result.
+with k rows at most, and rows of one vec_id with different vectors a query each; further columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -47,13 +52,16 @@ def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     v = F.col("v")
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v")).where("id is not null and v is not null")
     odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    rows = rows.where(~F.exists(v, odd) & F.exists(v, lambda x: x != 0))
-    top = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").first()
-    return rows.where(F.size("v") == (top["n"] if top else 0))
+    return rows.where(~F.exists(v, odd) & F.exists(v, lambda x: x != 0))
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy().reshape(-1, dim)
+def _by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of a column of vectors, for each length: the places, and the vectors divided by the power of two of their largest component."""
+    sizes = np.diff(column.offsets.to_numpy()) if len(column) else np.empty(0, np.int64)
+    for dim in np.unique(sizes):
+        at = np.flatnonzero(sizes == dim)
+        v = column.take(pa.array(at)).flatten().to_numpy().reshape(-1, dim)
+        yield at, np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1])
 
 
 def _norms(v: np.ndarray) -> np.ndarray:
@@ -72,26 +80,28 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, CHUNK):
             part = batch.slice(i, CHUNK)
-            dim = len(part.column(1)[0])
-            v = _matrix(part.column(1), dim)
-            turned = (v / np.abs(v).max(axis=1, keepdims=True)) @ rotation(dim).T
-            turned /= np.linalg.norm(turned, axis=1, keepdims=True)
-            f = np.abs(turned).sum(axis=1) / np.sqrt(dim)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x], t) for x, t in ((dim, pa.int32()), (part.column(0).to_numpy().tobytes(), pa.binary()), (v.tobytes(), pa.binary()), (np.packbits(turned > 0, axis=1).tobytes(), pa.binary()), (f.tobytes(), pa.binary()))],
-                names=["dim", "ids", "vectors", "codes", "f"],
-            )
+            ids = part.column(0).to_numpy()
+            for at, v in _by_length(part.column(1)):
+                dim = v.shape[1]
+                turned = v @ rotation(dim).T
+                turned /= np.linalg.norm(turned, axis=1, keepdims=True)
+                f = np.abs(turned).sum(axis=1) / np.sqrt(dim)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x], t) for x, t in ((dim, pa.int32()), (ids[at].tobytes(), pa.binary()), (v.tobytes(), pa.binary()), (np.packbits(turned > 0, axis=1).tobytes(), pa.binary()), (f.tobytes(), pa.binary()))],
+                    names=["dim", "ids", "vectors", "codes", "f"],
+                )
 
 
 def build_index(vectors: DataFrame) -> DataFrame:
-    """Chunks of the index: ids, original vectors, packed codes and correction scalars of up to CHUNK vectors a row."""
+    """Chunks of the index: ids, vectors, packed codes and correction scalars of up to CHUNK vectors of one length a row."""
     return vectors.mapInArrow(_coded, "dim int, ids binary, vectors binary, codes binary, f binary")
 
 
 def _blocked(key, part):
     part = part.combine_chunks()
-    v = _matrix(part.column("v").chunk(0), len(part.column("v")[0]))
-    return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "q_ids": pa.array([part.column("id").to_numpy().tobytes()], pa.binary()), "q_vectors": pa.array([v.tobytes()], pa.binary())})
+    ids, keys, column = (part.column(c).chunk(0) for c in ("id", "key", "v"))
+    rows = [(len(v[0]), ids.to_numpy()[at].tobytes(), keys.to_numpy()[at].tobytes(), v.tobytes()) for at, v in _by_length(column)]
+    return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate((("q_dim", pa.int32()), ("q_ids", pa.binary()), ("q_keys", pa.binary()), ("q_vectors", pa.binary())))})
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -102,8 +112,7 @@ def search_chunk(q_ids, q, ids, v, codes, f, k: int):
     """(query's number, ids, scores) of the k best of a chunk for each query."""
     dim = v.shape[1]
     signs = (np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(dim))
-    unit = q / np.abs(q).max(axis=1, keepdims=True)
-    unit = (unit / np.linalg.norm(unit, axis=1, keepdims=True)) @ rotation(dim).T
+    unit = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ rotation(dim).T
     guess = (signs @ unit.T.astype(np.float32)).T / f.astype(np.float32)
     bound = (SIGMAS * np.sqrt(np.maximum(1 - f * f, 0)) / f / np.sqrt(max(dim - 1, 1)) + 1e-4).astype(np.float32)
     v_norm, q_norm = _norms(v), _norms(q)
@@ -129,16 +138,16 @@ def _search(k: int):
         kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for r in batch.to_pylist():
-                q_ids, ids = (np.frombuffer(r[c], np.int64) for c in ("q_ids", "ids"))
+                q_ids, q_keys, ids = (np.frombuffer(r[c], np.int64) for c in ("q_ids", "q_keys", "ids"))
                 q, v = (np.frombuffer(r[c], np.float64).reshape(-1, r["dim"]) for c in ("q_vectors", "vectors"))
                 codes = np.frombuffer(r["codes"], np.uint8).reshape(len(ids), -1)
                 for i, near, scores in search_chunk(q_ids, q, ids, v, codes, np.frombuffer(r["f"], np.float64), k):
-                    if (old := kept.get(key := (int(q_ids[i]), q[i].tobytes()))) is not None:
+                    if (old := kept.get(key := (int(q_ids[i]), int(q_keys[i])))) is not None:
                         near, scores = np.concatenate([old[0], near]), np.concatenate([old[1], scores])
                     best = _best(near, scores, k)
                     kept[key] = near[best], scores[best]
-        out = [(key[0], key[1], int(n), float(s)) for key, (near, scores) in kept.items() for n, s in zip(near, scores, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate((pa.int64(), pa.binary(), pa.int64(), pa.float64()))], names=["query_id", "query", "vec_id", "score"])
+        out = [(*key, int(n), float(s)) for key, (near, scores) in kept.items() for n, s in zip(near, scores, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "query", "vec_id", "score"])
 
     return run
 
@@ -146,14 +155,13 @@ def _search(k: int):
 def nearest(vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest of each row for which ``queries`` (on ``id``) holds."""
     use = usable(vectors, vec_id, embedding)
-    index = build_index(use)
-    asked = stored(use.where(queries).distinct())
+    asked = stored(use.where(queries).distinct().withColumn("key", F.monotonically_increasing_id()))
     n_blocks, shares = max(1, -(-asked.count() // QUERIES)), shuffle_partitions(vectors.sparkSession)
-    blocks = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")).groupBy("block").applyInArrow(_blocked, "block int, q_ids binary, q_vectors binary")
-    # each pair of a query block and an index chunk meets once; a block is copied to every share of the chunks
-    chunks = index.withColumn("share", F.pmod(F.xxhash64("ids"), F.lit(shares)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    copies = blocks.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    found = chunks.join(copies, ["block", "share"]).mapInArrow(_search(k), "query_id long, query binary, vec_id long, score double")
+    blocks = asked.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(n_blocks))).groupBy("block").applyInArrow(_blocked, "q_dim int, q_ids binary, q_keys binary, q_vectors binary")
+    copies = blocks.withColumn("q_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    chunks = build_index(use).withColumn("share", F.pmod(F.xxhash64("ids"), F.lit(shares)).cast("int"))
+    pairs = chunks.join(copies, (F.col("share") == F.col("q_share")) & (F.col("dim") == F.col("q_dim")))
+    found = pairs.select("dim", "ids", "vectors", "codes", "f", "q_ids", "q_keys", "q_vectors").mapInArrow(_search(k), "query_id long, query long, vec_id long, score double")
     order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
@@ -169,7 +177,7 @@ WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FR
 n AS (SELECT vec_id, v, sqrt(list_reduce(list_prepend(0.0::DOUBLE, list_transform(v, lambda x: x * x)), lambda a, x: a + x)) AS n FROM e),
 s AS (SELECT q.vec_id AS query_id, c.vec_id,
              list_reduce(list_prepend(0.0::DOUBLE, list_transform(range(1, len(c.v) + 1), lambda i: c.v[i] * q.v[i])), lambda a, x: a + x) / (c.n * q.n) AS score
-      FROM n q JOIN n c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+      FROM n q JOIN n c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 """

@@ -15,17 +15,20 @@
    cuts end when less is missing than the smallest document that may still be taken.
 
 Defined cases: a null text has size 0 and is never taken; a null source is a source of its own,
-last in order; repeated rows count one by one and share their fate, and so do rows of one size
-without a doc_id; empty tables give empty
-results; further columns are ignored. The result depends on the rows and the seed alone.
+last in order; repeated rows (of one document and size; without a doc_id, of one size) count one
+by one and are taken one by one: the order takes all of them or none, the last gap may be filled
+with any number of them, dealt out evenly; empty tables give empty results; further columns, of
+whatever names, are ignored or kept. The result depends on the rows and the seed alone.
 """
 
 from __future__ import annotations
 
+import functools
 from collections import deque
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import count_words, stored, table
 
@@ -110,25 +113,26 @@ def _pattern_frame(spark, rows: list[tuple], fields: str) -> DataFrame:
     return spark.createDataFrame(rows, f"at array<string>, {fields}")
 
 
-def filling(offers: list, need: int, most: int = 1 << 20) -> list[tuple]:
+def filling(offers: list, need: int, most: int = 1 << 18) -> list[tuple]:
     """(offer, copies) that come closest to ``need`` from below: largest first while it is over ``most``, then by subset sums."""
     chosen, items = {}, []
     for k, c in enumerate(offers):
-        for _ in range(c["spare"]):
-            if need > most and c["size"] <= need:
-                chosen[k] = chosen.get(k, 0) + 1
-                need -= c["size"]
-            else:
-                items.append((k, c["size"]))
-    if need <= most:
-        reached = [1]
-        for _, size in items:
-            reached.append(reached[-1] | (reached[-1] << size) & ((2 << need) - 1))
-        total = reached[-1].bit_length() - 1
-        for (k, size), before in zip(reversed(items), reversed(reached[:-1]), strict=True):
-            if not before >> total & 1:
-                chosen[k] = chosen.get(k, 0) + 1
-                total -= size
+        taken = min(c["spare"], max(0, need - most + c["size"] - 1) // c["size"], need // c["size"])
+        if taken:
+            chosen[k] = taken
+            need -= taken * c["size"]
+        left, part = min(c["spare"] - taken, need // c["size"]), 1
+        while left > 0:  # 1, 2, 4, ... copies at once make up any number
+            items.append((k, min(part, left)))
+            left, part = left - part, 2 * part
+    reached = [1]
+    for k, n in items:
+        reached.append(reached[-1] | (reached[-1] << n * offers[k]["size"]) & ((2 << need) - 1) if need <= most else 1)
+    total = reached[-1].bit_length() - 1
+    for (k, n), before in zip(reversed(items), reversed(reached[:-1]), strict=True):
+        if not before >> total & 1:
+            chosen[k] = chosen.get(k, 0) + n
+            total -= n * offers[k]["size"]
     return [(offers[k], n) for k, n in chosen.items()]
 
 
@@ -137,7 +141,7 @@ def _edges(sized: DataFrame, live: dict[tuple, tuple[int, int]]) -> dict[tuple,
     rest, edge, ends = {p: need for p, (_, need) in live.items()}, dict.fromkeys(live, 0), {}
     for level in range(LEVELS):
         at = _pattern_frame(sized.sparkSession, [(list(p), *live[p], edge[p]) for p in edge], "start long, most long, edge long")
-        part = sized.join(F.broadcast(at), _same("pattern", F.col("at"))).where((F.col("size") > 0) & (F.col("unit") <= F.col("most")) & (F.col("u") >= F.col("start")))
+        part = sized.join(F.broadcast(at), _same("pattern", F.col("at"))).where((F.col("size") > 0) & (F.col("size") * F.col("many") <= F.col("most")) & (F.col("u") >= F.col("start")))
         if level:
             part = part.where(F.shiftright("u", 10 * (LEVELS - level)) == F.col("edge"))
         at_bin = F.shiftright("u", 10 * (LEVELS - 1 - level)).bitwiseAND(BINS - 1).alias("bin")
@@ -159,18 +163,18 @@ def _edges(sized: DataFrame, live: dict[tuple, tuple[int, int]]) -> dict[tuple,
 
 
 def _in_steps() -> Column:
-    """How often the order takes a row: the steps of its pattern that it lies in and is small enough for."""
-    return F.size(F.filter("steps", lambda s: (F.col("u") >= s["start"]) & (F.col("u") < s["stop"]) & (F.col("unit") <= s["most"])))
+    """How often the order takes a row: the steps of its pattern that it lies in and that it fits, with the rows that equal it."""
+    return F.size(F.filter("steps", lambda s: (F.col("u") >= s["start"]) & (F.col("u") < s["stop"]) & (F.col("size") * F.col("many") <= s["most"])))
 
 
 def _offers(sized: DataFrame, state: list[tuple]) -> dict[tuple, tuple[list, int]]:
     """By pattern, one document of each size class that still fits, new ones before repeats, and the words of the smallest."""
     at = _pattern_frame(sized.sparkSession, state, f"whole long, need long, {STEPS}")
     part = sized.join(F.broadcast(at), _same("pattern", F.col("at"))).withColumn("more", _in_steps())
-    spare = (len(PASS_COSTS) - F.col("whole") - F.col("more")).alias("spare")
-    fits = part.where((F.col("size") > 0) & (F.col("unit") <= F.col("need")) & (spare > 0))
-    one = F.struct(F.col("unit").alias("size"), "u", "pick", F.col("size").alias("row_size"), spare)
-    classes = fits.groupBy("pattern", F.floor(8 * F.log2("unit")).alias("class")).agg(F.min_by(one, F.struct("more", "u", "pick", "size")).alias("c"), F.min("unit").alias("least"))
+    spare = ((len(PASS_COSTS) - F.col("whole") - F.col("more")) * F.col("many")).alias("spare")
+    fits = part.where((F.col("size") > 0) & (F.col("size") <= F.col("need")) & (spare > 0))
+    one = F.struct("size", "u", "pick", spare)
+    classes = fits.groupBy("pattern", F.floor(8 * F.log2("size")).alias("class")).agg(F.min_by(one, F.struct("more", "u", "pick", "size")).alias("c"), F.min("size").alias("least"))
     found: dict[tuple, tuple[list, int]] = {}
     for r in sorted(classes.collect(), key=lambda r: (-r["c"]["size"], r["c"]["u"])):  # at most some 300 classes a pattern
         offers, least = found.get(tuple(r["pattern"]), ([], r["least"]))
@@ -179,7 +183,7 @@ def _offers(sized: DataFrame, state: list[tuple]) -> dict[tuple, tuple[list, int
 
 
 def select_documents(sized: DataFrame, given: dict[tuple, int], supply: dict[tuple, int]) -> DataFrame:
-    """``sized`` (pattern, size, unit, u, pick) with ``times``, how often each row is taken."""
+    """``sized`` (pattern, size, many, u, pick) with ``copies``, how often each row and those that equal it, ``many`` in all, are taken together."""
     spark = sized.sparkSession
     whole = {p: given[p] // supply[p] if supply[p] else 0 for p in supply}
     need = {p: given[p] - whole[p] * supply[p] for p in supply}
@@ -205,12 +209,34 @@ def select_documents(sized: DataFrame, given: dict[tuple, int], supply: dict[tup
                 del live[p]
     at = _pattern_frame(spark, [(list(p), whole[p], best[p][1]) for p in supply], f"whole long, {STEPS}")
     part = sized.join(F.broadcast(at), _same("pattern", F.col("at"))).drop("at")
-    picks = [(list(p), c["u"], c["pick"], c["row_size"], n) for p in supply for c, n in best[p][2]]
+    picks = [(list(p), c["u"], c["pick"], c["size"], n) for p in supply for c, n in best[p][2]]
     extra = spark.createDataFrame(picks, "of array<string>, fill_u long, fill_pick long, fill_size long, fill long")
     mine = _same("pattern", F.col("of")) & (F.col("u") == F.col("fill_u")) & (F.col("pick") == F.col("fill_pick")) & (F.col("size") == F.col("fill_size"))
     out = part.withColumn("more", _in_steps() + F.lit(0)).join(F.broadcast(extra), mine, "left")
-    times = F.col("whole") + F.col("more") + F.coalesce("fill", F.lit(0))
-    return out.withColumn("times", F.when(F.col("size") > 0, times).otherwise(F.lit(0)).cast("long")).drop("whole", "steps", "more", "of", "fill_u", "fill_pick", "fill_size", "fill")
+    copies = (F.col("whole") + F.col("more")) * F.col("many") + F.coalesce("fill", F.lit(0))
+    return out.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).cast("long")).drop("whole", "steps", "more", "of", "fill_u", "fill_pick", "fill_size", "fill")
+
+
+def dealt(rows: DataFrame, *key: str) -> DataFrame:
+    """``rows`` with ``times``: the ``copies`` of a key dealt out evenly to its ``many`` rows, the rest to some of them.
+
+    Rows are counted off in two steps, inside the partitions in which they stand (``at``) and over
+    these, so that a key with very many rows is not gathered in one task.
+    """
+    if "at" not in rows.columns:
+        rows = rows.withColumn("at", F.spark_partition_id())
+    even = rows.where("copies % many = 0").withColumn("times", F.expr("copies div many")).drop("at")
+    odd = stored(rows.where("copies % many <> 0"))
+    if odd.isEmpty():
+        return even
+    inside = Window.partitionBy(*key, "at").orderBy(F.lit(0))
+    earlier = Window.partitionBy(*key).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    counts = odd.groupBy(*key, "at").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    counts = counts.select(*[F.col(k).alias(f"of_{k}") for k in (*key, "at")], "before")
+    same = functools.reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in (*key, "at")])
+    numbered = odd.withColumn("k", F.row_number().over(inside)).join(counts, same)
+    times = F.expr("copies div many") + (F.col("k") + F.col("before") <= F.expr("copies % many")).cast("long")
+    return even.unionByName(numbered.withColumn("times", times).select(*even.columns))
 
 
 def _same(pattern: str, other: Column) -> Column:
@@ -218,7 +244,7 @@ def _same(pattern: str, other: Column) -> Column:
 
 
 def mix(docs: DataFrame, doc_id: str, text: str, members: Column, weights=None, quotas=None, seed: int = SEED, max_patterns: int = 20_000) -> DataFrame:
-    """One row a document: doc_id, members, size, times and taken (words), and the sources' table.
+    """One row a document: doc_id, members, size, times and taken (words), copies and many of its equal rows, and the sources' table.
 
     ``members`` is the array of a document's sources. ``weights(names)`` gives each source's
     weight; ``quotas`` may set the words of each source instead.
@@ -227,13 +253,13 @@ def mix(docs: DataFrame, doc_id: str, text: str, members: Column, weights=None,
     rows = docs.select(F.col(doc_id).alias("doc_id"), pattern.alias("pattern"), count_words(F.col(text)).alias("size"))
     own = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), "size")).otherwise(F.xxhash64(F.lit(seed), "doc_id"))
     sized = stored(rows.select("*", own.bitwiseAND(END - 1).alias("u"), F.shiftright(own, 30).alias("pick")))
-    again = sized.groupBy("pattern", "u", "pick", "size").agg(F.sum("size").alias("unit")).where("unit > size")
-    again = stored(again.select(F.col("pattern").alias("of"), F.col("u").alias("u2"), F.col("pick").alias("pick2"), F.col("size").alias("size2"), "unit"))
+    again = sized.groupBy("pattern", "u", "pick", "size").agg(F.count("*").alias("many")).where("many > 1")
+    again = stored(again.select(F.col("pattern").alias("of"), F.col("u").alias("u2"), F.col("pick").alias("pick2"), F.col("size").alias("size2"), "many"))
     if again.isEmpty():
-        sized = sized.withColumn("unit", F.col("size"))
-    else:  # repeated rows are taken or left together
+        sized = sized.withColumn("many", F.lit(1).cast("long"))
+    else:
         same = _same("pattern", F.col("of")) & (F.col("u") == F.col("u2")) & (F.col("pick") == F.col("pick2")) & (F.col("size") == F.col("size2"))
-        sized = stored(sized.join(again, same, "left").select(*sized.columns, F.coalesce("unit", "size").alias("unit")))
+        sized = stored(sized.join(again, same, "left").select(*sized.columns, F.coalesce("many", F.lit(1)).alias("many")))
     sums = sized.groupBy("pattern").agg(F.sum("size").alias("words")).limit(max_patterns + 1).collect()
     if len(sums) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns")
@@ -246,7 +272,7 @@ def mix(docs: DataFrame, doc_id: str, text: str, members: Column, weights=None,
         scale = grand / (sum(sizes.values()) or 1)  # words of several sources count once
         quotas = {s: q * scale for s, q in quotas.items()}
     given = route(supply, {s: round(q) for s, q in quotas.items()})
-    out = select_documents(sized, given, supply) if supply else sized.withColumn("times", F.lit(0).cast("long"))
+    out = dealt(select_documents(sized, given, supply) if supply else sized.withColumn("copies", F.lit(0).cast("long")), "pattern", "u", "pick", "size")
     shown = docs.sparkSession.createDataFrame([(s, sizes[s], float(quotas[s])) for s in names], "member string, source_size long, target double")
     return out.withColumn("taken", F.col("times") * F.col("size")), shown
 
@@ -269,8 +295,8 @@ def op4_source_mix(spark, sf_dir: str) -> DataFrame:
 def taken_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows of ``docs`` that the mix takes, each as often as it takes them, columns unchanged."""
     taken, _ = mix(docs, doc_id, text, F.array(source))
-    times = taken.groupBy(F.col("doc_id").alias("_id"), F.col("pattern").alias("_p"), F.col("size").alias("_n")).agg(F.max("times").alias("_times")).where("_times > 0")
-    rows = docs.join(
-        times, F.col(doc_id).eqNullSafe(F.col("_id")) & F.array(source).eqNullSafe(F.col("_p")) & (count_words(F.col(text)) == F.col("_n"))
-    )
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    chosen = taken.groupBy(F.col("doc_id").alias("id"), F.col("pattern").alias("of"), F.col("size").alias("words")).agg(F.max("copies").alias("copies"), F.max("many").alias("many")).where("copies > 0")
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("doc_id"), F.array(source).alias("pattern"), count_words(F.col(text)).alias("size"), F.spark_partition_id().alias("at"))
+    rows = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & _same("pattern", F.col("of")) & (F.col("size") == F.col("words")))
+    rows = dealt(rows.select("row", "doc_id", "pattern", "size", "copies", "many", "at"), "doc_id", "pattern", "size")
+    return rows.where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")

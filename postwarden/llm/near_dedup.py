@@ -241,9 +241,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def first_copies(docs: DataFrame, width: int = 5) -> DataFrame:
-    """The rows of ``docs`` that are the first of their group of near duplicates."""
-    gone = near_duplicates(docs, width=width).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """The rows of ``docs`` that are the first of their group of near duplicates; all rows of a kept doc_id stay, whatever further columns there are."""
+    gone = near_duplicates(docs, width=width).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    rows = docs.select(F.struct("*").alias("row"))
+    return rows.join(gone, F.col("row.doc_id") == F.col("gone"), "left_anti").select("row.*")
 
 
 def op6_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -291,6 +291,47 @@ def test_neighbours_of_repeated_queries(spark):
     assert sorted((r["rank"], r["vec_id"]) for r in found) == sorted(want)
 
 
+def test_neighbours_of_any_scale_and_length(spark):
+    """Components of 1e200 and norms of 1e-200 give the scores of their plain multiples; vectors of another length meet their like; further columns are ignored."""
+    rng = np.random.default_rng(3)
+    v, short = rng.standard_normal((60, 16)), rng.standard_normal((7, 3))
+    scale = [10.0 ** rng.integers(-200, 200) for _ in v]
+    rows = [(k, (x * s).tolist(), 1, "x") for k, (x, s) in enumerate(zip(v, scale, strict=True))] + [(100 + k, x.tolist(), 2, "y") for k, x in enumerate(short)]
+    found = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, id int, key string"), F.col("id") % 50 == 0, k=8).collect()
+    for at, of, offset in ((0, v, 0), (50, v, 0), (100, short, 100)):
+        unit = of / np.linalg.norm(of, axis=1, keepdims=True)
+        s = unit @ unit[at - offset]
+        want = [int(i) + offset for i in np.argsort(-s) if i != at - offset][:8]
+        mine = sorted((r for r in found if r["query_id"] == at), key=lambda r: r["rank"])
+        assert [r["vec_id"] for r in mine] == want and [r["score"] for r in mine] == pytest.approx([s[i - offset] for i in want], abs=1e-12)
+
+
+@pytest.mark.parametrize("rows, target", [([(1, 40)] * 50, 1531), ([(1, 40)] * 50, 4591), ([(1, 40)] * 50 + [(2, 7)] * 9, 2050), ([(None, 10)] * 30 + [(3, 1000)], 95)])
+def test_mix_takes_repeated_rows_one_by_one(spark, rows, target):
+    """Rows of one document are taken in any number, evenly, and the gap is smaller than the smallest document."""
+    d = docs(spark, [(i, "w " * n, "s") for i, n in rows])
+    taken, _ = mixing.mix(d, "doc_id", "text", F.array("source"), quotas={"s": float(target)})
+    found = taken.collect()
+    assert 0 <= target - sum(r["taken"] for r in found) < min(n for _, n in rows) and all(0 <= r["times"] <= 3 for r in found)
+    for key in set(rows):
+        times = [r["times"] for r in found if (r["doc_id"], r["size"]) == key]
+        assert len(times) == rows.count(key) and max(times) - min(times) <= 1
+
+
+def test_filling_by_brute_force():
+    random.seed(9)
+    for _ in range(200):
+        offers = [{"size": random.randint(1, 40), "spare": random.randint(0, 6)} for _ in range(random.randint(1, 5))]
+        offers.sort(key=lambda c: -c["size"])
+        need = random.randint(0, 400)
+        sums = {0}
+        for c in offers:
+            sums = {x + n * c["size"] for x in sums for n in range(c["spare"] + 1)}
+        chosen = mixing.filling(offers, need)
+        assert sum(c["size"] * n for c, n in chosen) == max(x for x in sums if x <= need) and all(n <= c["spare"] for c, n in chosen)
+    assert sum(c["size"] * n for c, n in mixing.filling([{"size": 3, "spare": 10**12}], 10**12)) == 10**12 - 1
+
+
 def test_bpe_as_the_library_does(spark):
     coder, _ = bpe.tokenizer(bpe.vocabulary_path())
     random.seed(4)
@@ -474,11 +515,12 @@ def test_language_of_nothing(spark):
 
 def test_pipeline(spark):
     import corpus_pipeline as cp
+    from postwarden.llm.common import stored
 
     docs_ = spark.read.parquet(f"{DATA}/documents.parquet")
     frames = [docs_]
     for _, stage in cp.STAGES:
-        frames.append(cp.stored(stage(spark, frames[-1], DATA)))
+        frames.append(stored(stage(spark, frames[-1], DATA)))
     assert all(f.columns == docs_.columns for f in frames[:-1])
     graded = {r["doc_id"] for r in grading.grade(docs_, grading.ratings(spark.read.parquet(f"{DATA}/labels.parquet"))).where("kept").collect()}
     assert {r["doc_id"] for r in frames[1].collect()} == graded
@@ -491,3 +533,42 @@ def test_pipeline(spark):
     coder, _ = bpe.tokenizer(bpe.vocabulary_path())
     texts = {r["doc_id"]: r["text"] for r in frames[4].collect()}
     assert frames[5].count() == frames[4].count() and all(r["n_tokens"] == len(coder.encode_ordinary(texts[r["doc_id"]])) for r in frames[5].collect())
+
+
+STAGE_COLUMNS = "_id long, _p string, _n long, _times long, _copy long, _gone long, row long, id long, copies long, many long, times long, at long, size long, pattern string"
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_on_odd_rows(spark, tmp_path, k):
+    """Clashing columns are kept, empty tables give empty results, and odd rows have the results that the stage's text names."""
+    import corpus_pipeline as cp
+
+    labels = spark.createDataFrame([(4, 1, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    long = " ".join(f"word{j % 977}x{j}" for j in range(300_000))  # some 4 MB
+    shared = " ".join(f"s{j}" for j in range(60))
+    rows = [*ODD, (20, long, "c"), (21, long, "c"), (22, shared, "a"), (23, f"begin {shared} end", None), (23, f"begin {shared} end", None)]
+    extra = [f"{k}: {t}" for k, t in (c.split() for c in STAGE_COLUMNS.split(", "))]
+    d = docs(spark, rows)
+    for name, kind in (c.split(": ") for c in extra):
+        d = d.withColumn(name, F.lit(7).cast(kind))
+    stage = cp.STAGES[k][1]
+    found = stage(spark, d, str(tmp_path)).collect()
+    assert stage(spark, d.limit(0), str(tmp_path)).count() == 0
+    ids = sorted((r["doc_id"] for r in found), key=str)
+    every = sorted((r[0] for r in rows), key=str)
+    if k < 4:
+        assert all(list(r.asDict()) == d.columns and r["_copy"] == 7 and r["pattern"] == "7" for r in found)
+    texts = {(r["doc_id"], r["text"]) for r in found} if k < 4 else set()
+    if k == 0:  # one rated document, which passes: nothing is told against any word
+        assert ids == sorted((i for i, t, _ in rows if (t or "").split()), key=str)
+    elif k == 1:
+        assert ids == sorted((i for i in every if i != 21 and i != 23), key=str)
+        assert (20, long) in texts and (5, ODD[5][1]) in texts
+    elif k == 2:
+        assert ids == sorted((i for i in every if i != 21), key=str) and (23, "begin end") in texts and (5, ODD[5][1]) in texts
+    elif k == 3:
+        assert {i for i in ids} <= set(every) and not {1, 2, 3} & set(ids) and all(ids.count(i) <= 3 * every.count(i) for i in set(ids))
+    else:
+        tokens = {(r["doc_id"], r["n_tokens"]) for r in found}
+        assert ids == every and {(1, 0), (2, 0)} <= tokens and {r["decoded_sha256"] for r in found if r["doc_id"] == 20} == {hashlib.sha256(long.encode()).hexdigest()}
