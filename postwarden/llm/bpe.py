@@ -1,16 +1,19 @@
 r"""Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
-A text is cut at each space or line feed that follows a character other than white space. No
-match of the pre-tokenizer's pattern spans such a place, so the pieces ("words" here) are
-encoded by themselves as in the whole text. Each block of documents sends its distinct words,
-compressed, to buckets by hash; a bucket encodes each distinct word once, by the public
-vocabulary's ranks, and returns the ids to the blocks, where they are put together by the
-words' positions. Decoding looks each id up in the token-byte table (50,256 entries, read by
-every worker from the vocabulary file).
-
-Words with positions are not exploded into rows: that shuffle alone is several times the
-input. Positions stay in the block, and what moves is the texts once, compressed, and one
-entry for each distinct word of a block.
+Texts become their pre-tokens, the matches of the pre-tokenizer's pattern, with positions. They
+are counted off chunk by chunk (texts of some millions of characters, where they lie: no text
+is shuffled): each distinct pre-token of a chunk goes once, with its positions there, to a
+bucket by its hash. A bucket encodes each distinct pre-token once, by the public vocabulary's
+ranks; the ids are joined to its positions and go back to the chunk, which is reassembled by
+position. Decoding joins the ids with the token-byte table (50,256 entries, read by every
+worker from the vocabulary file: a map-side join).
+
+What moves is one compressed row a chunk and bucket: words, positions as differences, ids. A row
+a pre-token would move several times the input.
+
+Pre-tokens are found in two steps: a text is cut at each space or line feed that follows a
+character other than white space, which no match of the pattern spans; then each distinct piece
+is cut by the pattern once a chunk.
 
 Defined cases: a null text is empty: no ids, empty bytes; rows are independent, so repeated
 rows each get their result; empty tables give empty results; further columns are ignored.
@@ -19,6 +22,7 @@ rows each get their result; empty tables give empty results; further columns are
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -27,13 +31,15 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .blocks import give_back, rows
-from .common import table
-from .packing import opened, packed_blocks
+from .blocks import give_back
+from .common import shuffle_partitions, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: Characters of the texts of a chunk, if it has more than one text.
+CHUNK = 16_000_000
 _LOADED: dict[str, tuple] = {}
 _AFTER_BLANK = re.compile(r"\s[ \n]")
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
@@ -69,6 +75,41 @@ def words(text: str) -> list[str]:
     return parts if parts[0] else parts[1:]
 
 
+@functools.cache
+def splitter(pattern: str | None = None):
+    import regex
+
+    if pattern is None:
+        from public_tokenizers import PATTERN as pattern  # noqa: N811
+    return regex.compile(pattern)
+
+
+class Numbers(dict):
+    """Gives each new key the next number."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
+def pre_tokens(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct pre-tokens of some texts, the number of each in order, and how many each text has."""
+    pieces, runs = Numbers(), []
+    for text in texts:
+        parts = words(text or "")
+        runs.append(np.fromiter(map(pieces.__getitem__, parts), np.int32, len(parts)))
+    tokens, split, starts, flat = Numbers(), splitter().findall, [0], []
+    for piece in pieces:
+        flat.extend(map(tokens.__getitem__, split(piece)))
+        starts.append(len(flat))
+    whole, starts = np.concatenate([np.empty(0, np.int32), *runs]), np.array(starts, np.int64)
+    sizes = np.diff(starts)[whole]
+    ends = np.cumsum(sizes)
+    order = np.array(flat, np.int32)[np.repeat(starts[whole] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+    upto = np.concatenate([[0], ends])[np.cumsum([0, *map(len, runs)])]
+    return list(tokens), order, np.diff(upto)
+
+
 def _squeeze(x: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(x)
 
@@ -77,85 +118,137 @@ def _spread(x: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(x)
 
 
+def _squeezed_numbers(x: np.ndarray) -> bytes:
+    """32-bit numbers, byte planes apart."""
+    return _squeeze(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _spread_numbers(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_spread(x), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _cut_up(flat: bytes, sizes: np.ndarray) -> list[bytes]:
     ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).tolist()
     return [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
-def _distinct(texts: list[str | None], n: int) -> tuple[list[bytes], np.ndarray]:
-    """The distinct words in order of bucket and bytes, and where each bucket ends."""
-    found: set[str] = set()
-    for text in texts:
-        found.update(words(text or ""))
-    flat = sorted(w.encode() for w in found)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, flat), np.uint64, len(flat))
-    bucket = ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    return [flat[i] for i in order.tolist()], np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=n))])
+SENT = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), *((c, pa.binary()) for c in ("lengths", "flat", "counts", "places", "ids", "sizes", "nulls"))])
+CODED = pa.schema([("chunk", pa.int64()), *((c, pa.binary()) for c in ("counts", "places", "n_ids", "codes", "ids", "sizes", "nulls"))])
+_KINDS = {pa.int64(): "long", pa.binary(): "binary"}
+
 
+def _ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {_KINDS[f.type]}" for f in schema)
 
-SENT, ANSWER = "block long, bucket long, lengths binary, flat binary", "block long, bucket long, counts binary, ids binary"
+
+def _rows(schema: pa.Schema, found: list[dict]) -> pa.Table:
+    return pa.Table.from_pylist(found, schema=schema)
+
+
+def _sent_chunk(chunk: int, ids: list[int | None], texts: list[str | None], n: int) -> list[dict]:
+    """A row for each bucket of the chunk's pre-tokens, and one, with ``ids``, for its documents."""
+    tokens, order, sizes = pre_tokens(texts)
+    raw = [t.encode() for t in tokens]
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64, len(raw))
+    bucket = ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+    rank = np.empty(len(raw), np.int64)
+    by_bucket = np.array(sorted(range(len(raw)), key=raw.__getitem__), np.int64)
+    by_bucket = by_bucket[np.argsort(bucket[by_bucket], kind="stable")]
+    rank[by_bucket] = np.arange(len(raw))
+    places = np.argsort(rank[order], kind="stable")  # by pre-token in that order, then by position
+    counts = np.bincount(rank[order], minlength=len(raw))
+    edge, at = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=n))]), np.concatenate([[0], np.cumsum(counts)])
+    out = [{"bucket": chunk % n, "chunk": chunk, "ids": np.array([i or 0 for i in ids], np.int64).tobytes(), "sizes": sizes.astype(np.int64).tobytes(), "nulls": np.array([i is None for i in ids]).tobytes()}]
+    for r in np.flatnonzero(np.diff(edge)).tolist():
+        own = [raw[i] for i in by_bucket[edge[r] : edge[r + 1]].tolist()]
+        part = places[at[edge[r]] : at[edge[r + 1]]].astype(np.uint32)
+        out.append({
+            "bucket": r, "chunk": chunk, "lengths": _squeezed_numbers(np.fromiter(map(len, own), np.int64, len(own))), "flat": _squeeze(b"".join(own)),
+            "counts": _squeezed_numbers(counts[edge[r] : edge[r + 1]]), "places": _squeezed_numbers(np.diff(part, prepend=np.uint32(0))),
+        })
+    return out
+
+
+def _joined(parts: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a chunk's rows: doc_ids, pre-tokens of each document, and all ids with where each pre-token's begin."""
+    told = next(r for r in parts.select(["ids", "sizes", "nulls"]).to_pylist() if r["ids"] is not None)
+    ids = pa.array(np.frombuffer(told["ids"], np.int64), mask=np.frombuffer(told["nulls"], bool))
+    sizes = np.frombuffer(told["sizes"], np.int64)
+    places, lengths, first, codes, base = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, "<u4")], 0
+    for r in parts.select(["counts", "places", "n_ids", "codes"]).to_pylist():
+        if r["counts"] is not None:
+            counts, n_ids, code = _spread_numbers(r["counts"]), _spread_numbers(r["n_ids"]).astype(np.int64), _spread_numbers(r["codes"])
+            places.append(np.cumsum(_spread_numbers(r["places"]), dtype=np.uint32).astype(np.int64))
+            lengths.append(np.repeat(n_ids, counts))
+            first.append(np.repeat(base + np.cumsum(n_ids) - n_ids, counts))
+            codes.append(code)
+            base += len(code)
+    places, codes = np.concatenate(places), np.concatenate(codes)
+    width, source = np.empty(len(places), np.int64), np.empty(len(places), np.int64)
+    width[places], source[places] = np.concatenate(lengths), np.concatenate(first)
+    ends = np.cumsum(width)
+    flat = codes[np.repeat(source - (ends - width), width) + np.arange(ends[-1] if len(ends) else 0)]
+    return ids, sizes, flat, np.concatenate([[0], ends])
 
 
 def encode_blocks(docs: DataFrame, result, schema: str, path: str | None = None) -> DataFrame:
-    """``result(table, ids of each row as little-endian unsigned 32-bit bytes)`` of each block."""
+    """``result(doc_ids, ids of each document as little-endian unsigned 32-bit arrays)`` of each chunk of ``docs`` (doc_id long, text)."""
     path = path or vocabulary_path()
-    blocks, n = packed_blocks(docs, *docs.columns)
-
-    def send(t: pa.Table) -> pa.Table:
-        flat, at = _distinct(opened(t).column("text").to_pylist(), n)
-        full = [r for r in range(n) if at[r + 1] > at[r]]
-        part = [flat[at[r] : at[r + 1]] for r in full]
-        return rows(
-            block=([t.column("block")[0].as_py()] * len(full), pa.int64()),
-            bucket=(full, pa.int64()),
-            lengths=([_squeeze(np.array([len(w) for w in p], np.uint32).tobytes()) for p in part], pa.binary()),
-            flat=([_squeeze(b"".join(p)) for p in part], pa.binary()),
-        )
+    n = shuffle_partitions(docs.sparkSession)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
+        for batch in batches:
+            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+                ids.append(doc.as_py())
+                texts.append(text.as_py())
+                size += len(texts[-1] or "")
+                if size >= CHUNK:
+                    yield from _rows(SENT, _sent_chunk(chunk, ids, texts, n)).to_batches()
+                    chunk, ids, texts, size = chunk + 1, [], [], 0
+        if ids:
+            yield from _rows(SENT, _sent_chunk(chunk, ids, texts, n)).to_batches()
+        del ids, texts
+        give_back()
 
     def encode(sent: pa.Table) -> pa.Table:
         coder, _ = tokenizer(path)
         known: dict[bytes, list[int]] = {}
-        counts, ids = [], []
-        for lengths, flat in zip(sent.column("lengths").to_pylist(), sent.column("flat").to_pylist(), strict=True):
-            own = []
-            for w in _cut_up(_spread(flat), np.frombuffer(_spread(lengths), np.uint32)):
-                code = known.get(w)
-                if code is None:
-                    code = known[w] = np.array(coder.encode_ordinary(w.decode()), np.uint32).tobytes()
-                own.append(code)
-            counts.append(_squeeze(np.array([len(c) for c in own], np.uint32).tobytes()))
-            joined = np.frombuffer(b"".join(own), np.uint32)
-            ids.append(_squeeze(joined.astype(np.uint16).tobytes() if joined.max(initial=0) < 1 << 16 else joined.tobytes()))
-        return pa.table({"block": sent.column("block"), "bucket": sent.column("bucket"), "counts": pa.array(counts, pa.binary()), "ids": pa.array(ids, pa.binary())})
-
-    def assemble(key, t: pa.Table, answers: pa.Table) -> pa.Table:
-        own = opened(t)
-        texts = own.column("text").to_pylist()
-        flat, at = _distinct(texts, n)
-        codes: dict[str, bytes] = {}
-        for r, counts, ids in zip(*(answers.column(c).to_pylist() for c in ("bucket", "counts", "ids")), strict=True):
-            sizes, ids = np.frombuffer(_spread(counts), np.uint32), _spread(ids)
-            ids = np.frombuffer(ids, np.uint16 if len(ids) * 2 == int(sizes.sum(dtype=np.int64)) else np.uint32).astype("<u4").tobytes()
-            codes |= zip(map(bytes.decode, flat[at[r] : at[r + 1]]), _cut_up(ids, sizes), strict=True)
-        out = result(own, (b"".join(map(codes.__getitem__, words(x or ""))) for x in texts))
-        del codes, flat, texts
+        out = []
+        for r in sent.to_pylist():
+            row = {c: r[c] for c in ("chunk", "counts", "places", "ids", "sizes", "nulls")}
+            if r["flat"] is not None:
+                own = []
+                for w in _cut_up(_spread(r["flat"]), _spread_numbers(r["lengths"])):
+                    code = known.get(w)
+                    if code is None:
+                        code = known[w] = coder._encode_single_piece(w)
+                    own.append(code)
+                row["n_ids"] = _squeezed_numbers(np.fromiter(map(len, own), np.int64, len(own)))
+                row["codes"] = _squeezed_numbers(np.array([x for code in own for x in code], np.int64))
+            out.append(row)
+        return _rows(CODED, out)
+
+    def assemble(parts: pa.Table) -> pa.Table:
+        ids, sizes, flat, starts = _joined(parts)
+        cuts = starts[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+        out = result(ids, (flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)))
+        del flat, starts
         give_back()
         return out
 
-    sent = blocks.groupBy("block").applyInArrow(send, SENT)
-    answers = sent.groupBy("bucket").applyInArrow(encode, ANSWER)
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, schema)
+    sent = docs.select("doc_id", "text").mapInArrow(send, _ddl(SENT))
+    return sent.groupBy("bucket").applyInArrow(encode, _ddl(CODED)).groupBy("chunk").applyInArrow(assemble, schema)
 
 
 def encode_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """doc_id and ids (array of int) of each text."""
     from pyspark.sql import functions as F
 
-    def ids(t: pa.Table, codes: Iterator[bytes]) -> pa.Table:
-        out = [np.frombuffer(c, np.int32) for c in codes]
+    def ids(docs_: pa.Array, codes: Iterator[np.ndarray]) -> pa.Table:
+        out = [c.view(np.int32) for c in codes]
         ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
-        return pa.table({"doc_id": t.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *out])))})
+        return pa.table({"doc_id": docs_, "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *out])))})
 
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return encode_blocks(docs, ids, "doc_id long, ids array<int>", path)
@@ -176,14 +269,14 @@ def decode_ids(coded: DataFrame, ids: str = "ids", to: str = "decoded", path: st
 
 
 def _digests(path: str):
-    def run(t: pa.Table, codes: Iterator[bytes]) -> pa.Table:
+    def run(docs: pa.Array, codes: Iterator[np.ndarray]) -> pa.Table:
         tokens = tokenizer(path)[1]
         n, ids, decoded = [], [], []
         for code in codes:
-            n.append(len(code) // 4)
-            ids.append(hashlib.sha256(code).hexdigest())
-            decoded.append(hashlib.sha256(b"".join(map(tokens.__getitem__, np.frombuffer(code, "<u4").tolist()))).hexdigest())
-        return pa.table({"doc_id": t.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())})
+            n.append(len(code))
+            ids.append(hashlib.sha256(code.tobytes()).hexdigest())
+            decoded.append(hashlib.sha256(b"".join(map(tokens.__getitem__, code.tolist()))).hexdigest())
+        return pa.table({"doc_id": docs, "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())})
 
     return run
 

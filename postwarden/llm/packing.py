@@ -1,6 +1,7 @@
 """Documents dealt into even blocks as compressed Arrow streams.
 
-A block is a hash share of the documents, one a shuffle partition. Each map task packs the
+A block is a hash share of the documents, one a shuffle partition, or more where the input's size
+asks for them. Each map task packs the
 rows it has for a block into one zstd-compressed Arrow stream before the shuffle, which
 moves less than half of what the rows would. Every step of one query reads the same exchange.
 """
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from .blocks import block_keys
 from .common import shuffle_partitions
 
+BLOCK_BYTES = 16 << 20
+
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
@@ -38,10 +41,16 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(streams, pa.binary())], names=["block", "stream"])
 
 
+def blocks_for(docs: DataFrame) -> int:
+    """Blocks of some BLOCK_BYTES by the optimizer's figure for the input; 1 where it has none."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return -(-size // BLOCK_BYTES) if size < 1 << 57 else 1
+
+
 def packed_blocks(docs: DataFrame, *key: Column | str) -> tuple[DataFrame, int]:
     """Rows of (block, stream), one block a partition, and the number of blocks."""
     spark = docs.sparkSession
-    n = shuffle_partitions(spark)
+    n = max(shuffle_partitions(spark), blocks_for(docs))
     names = F.array([F.lit(k) for k in block_keys(spark, n)])
     at = F.get(names, F.pmod(F.xxhash64(*key), F.lit(n)).cast("int")).cast("long")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), at.alias("block"))

@@ -1,15 +1,19 @@
 """Substring dedup by seed and extend, in two exchanges of keys between blocks of documents.
 
-Seeds. The anchor of a window of ``span`` words is the smallest hash among its runs of SEED
-words (winnowing), so equal windows have equal anchors wherever they stand. The blocks'
-distinct anchors meet in buckets, and each block learns which of its anchors other
-documents hold.
+Seeds. The anchor of a window of ``span`` words is the leftmost smallest hash among its runs of
+``seed`` words (winnowing), so equal windows have equal anchors at equal places. The blocks'
+distinct anchors meet in buckets, and each block learns which of its anchors other documents hold.
 
-Extension. Around each shared anchor the seed is extended both ways to every window that it
-anchors. These windows, as 128-bit hashes with the smallest document that holds each, meet in
-buckets again; each block learns which of its windows start in a smaller document. Windows
-that touch or overlap join into maximal repeats, which are removed. No pair of documents is
-ever listed, so a passage in thousands of documents costs one entry a block.
+Extension. The occurrences of shared anchors are joined by anchor in buckets: each brings the
+words around it, as 64-bit hashes, as far as a window with this anchor can reach. There the matches
+of one anchor are extended word by word to the left and to the right, all at once: step by
+step, a group of occurrences that agree so far is parted by its next word. A match that is
+extended l words to the left and the rest to the right is a whole window; where a smaller
+document is in the same group both ways, the window repeats. Windows that touch or overlap join
+into maximal repeats, which are removed.
+
+No pair of documents is ever listed, and equal surroundings in a block are sent once, so a
+passage in thousands of documents costs one entry a block and anchor.
 
 Defined cases: a null text has no words; texts shorter than ``span`` words lose nothing; rows
 with a null doc_id take no part; rows that share a doc_id do not remove from each other, as
@@ -29,22 +33,24 @@ from pyspark.sql import functions as F
 
 from .blocks import cuts, give_back, joined_bits, pack, rows, texts
 from .common import table
-from .hashing import windows, word_hashes
+from .hashing import mixed, windows, word_hashes
 from .packing import opened, packed_blocks
 
-SPAN, SEED = 13, 6
+SPAN = 13
 
 
-def anchors(hashes: np.ndarray, span: int, seed: int) -> np.ndarray:
-    """For every window of ``span`` words, the smallest hash of its runs of ``seed`` words."""
+def anchors(hashes: np.ndarray, span: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every window of ``span`` words, the smallest hash of its runs of ``seed`` words, and how far in the leftmost of them begins."""
     runs = windows(hashes, seed, seed=1)
     n = len(hashes) - span + 1
     if n <= 0:
-        return np.empty(0, np.uint64)
-    low = runs[:n].copy()
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    low, at = runs[:n].copy(), np.zeros(n, np.int64)
     for i in range(1, span - seed + 1):
+        less = runs[i : i + n] < low
+        at[less] = i
         np.minimum(low, runs[i : i + n], out=low)
-    return low
+    return low, at
 
 
 class Block:
@@ -69,40 +75,82 @@ class Block:
     def words(self):
         return (text.split() for _, text in texts(self.table))
 
-    def _runs(self):
-        """The anchors of all windows, neighbours with one anchor once: their keys, owners and lengths."""
-        low = anchors(self.hashes, self.span, self.seed)[self.starts] if len(self.starts) else np.empty(0, np.uint64)
-        head = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (self.owner[1:] != self.owner[:-1])])) if len(low) else np.empty(0, np.int64)
-        return low[head], self.owner[head], np.diff(np.concatenate([head, [len(low)]]))
-
-    def seeds(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The distinct anchors, whether two documents of the block hold each, each run's anchor, and the runs' lengths."""
-        keys, owners, lengths = self._runs()
+    def occurrences(self):
+        """The anchors of all windows, each place once: keys, places, owners, and the first window and how many windows have it."""
+        if not len(self.starts):
+            none = np.empty(0, np.int64)
+            return np.empty(0, np.uint64), none, none, none, none
+        low, at = anchors(self.hashes, self.span, self.seed)
+        place = self.starts + at[self.starts]
+        head = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (self.owner[1:] != self.owner[:-1])]))
+        return low[self.starts[head]], place[head], self.owner[head], head, np.diff(np.concatenate([head, [len(place)]]))
+
+    def seeds(self):
+        """The distinct anchors, whether two documents of the block hold each, and each occurrence's anchor."""
+        keys, _, owners, *_ = self.occurrences()
         if not len(keys):
-            return keys, np.empty(0, bool), np.empty(0, np.int64), lengths
-        order = np.argsort(keys)
+            return keys, np.empty(0, bool), np.empty(0, np.int64)
+        order = np.argsort(keys, kind="stable")
         new = np.concatenate([[True], keys[order][1:] != keys[order][:-1]])
         first, doc = np.flatnonzero(new), self.ids[owners[order]]
         number = np.empty(len(order), np.int64)
         number[order] = np.cumsum(new) - 1
-        return keys[order][first], np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first), number, lengths
+        return keys[order][first], np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first), number
 
-    def windows(self, elsewhere):
-        """The windows around shared anchors: distinct hashes with the smallest document, each window's place among them, and the windows.
+    def around(self, elsewhere):
+        """The occurrences of shared anchors by distinct surroundings: their anchors (sorted), words around, smallest document;
+        then the surroundings of each occurrence, its place, owner, first window and windows.
 
         ``elsewhere(keys)`` tells which anchors other blocks hold.
         """
-        keys, here, number, lengths = self.seeds()
-        chosen = np.flatnonzero(np.repeat((here | elsewhere(keys))[number], lengths)) if len(keys) else np.empty(0, np.int64)
-        if not len(chosen):
-            none = np.empty(0, np.uint64)
-            return none, none, np.empty(0, np.int64), np.empty(0, np.int64), chosen
-        at = self.starts[chosen]
-        a, b = windows(self.hashes, self.span, seed=2)[at], windows(self.hashes, self.span, seed=3)[at]
-        order, new = sorted_pairs(a, b)
-        first, place = np.flatnonzero(new), np.empty(len(order), np.int64)
-        place[order] = np.cumsum(new) - 1
-        return a[order][first], b[order][first], np.minimum.reduceat(self.ids[self.owner[chosen]][order], first), place, chosen
+        distinct, here, number = self.seeds()
+        keys, place, owner, head, many = self.occurrences()
+        chosen = np.flatnonzero((here | elsewhere(distinct))[number]) if len(keys) else np.empty(0, np.int64)
+        keys, place, owner, head, many = keys[chosen], place[chosen], owner[chosen], head[chosen], many[chosen]
+        reach = self.span - self.seed
+        side = np.concatenate([np.arange(-reach, 0), np.arange(self.seed, self.seed + reach)])
+        at = place[:, None] + side
+        inside = (at >= self.begin[owner][:, None]) & (at < self.begin[owner + 1][:, None])
+        words = np.where(inside, np.maximum(self.hashes[np.clip(at, 0, max(len(self.hashes) - 1, 0))] if len(at) else np.empty(at.shape, np.uint64), np.uint64(1)), np.uint64(0))
+        if not len(keys):
+            return keys, words, np.empty(0, np.int64), chosen, place, owner, head, many
+        told = np.zeros(len(keys), np.uint64)
+        for column in words.T:
+            told = mixed(told + column)
+        order = np.lexsort((told, keys))
+        new = np.concatenate([[True], (keys[order][1:] != keys[order][:-1]) | (words[order][1:] != words[order][:-1]).any(axis=1)])
+        first, of = np.flatnonzero(new), np.empty(len(order), np.int64)
+        of[order] = np.cumsum(new) - 1
+        return keys[order][first], words[order][first], np.minimum.reduceat(self.ids[owner[order]], first), of, place, owner, head, many
+
+
+def extended(keys: np.ndarray, words: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """[occurrence, l]: whether an occurrence of the same anchor in a smaller document agrees in l words to the left and the rest to the right.
+
+    ``words``: those to the left in text order, then those to the right, as many; 0 where a text has none.
+    """
+    reach = words.shape[1] // 2
+    group = _numbered(keys, np.zeros(len(keys), np.uint64))
+    left, right = [group], [group]
+    for i in range(reach):
+        left.append(_numbered(left[-1].astype(np.uint64), words[:, reach - 1 - i]))
+        right.append(_numbered(right[-1].astype(np.uint64), words[:, reach + i]))
+    out = np.zeros((len(keys), reach + 1), bool)
+    for n in range(reach + 1):
+        both = left[n].astype(np.uint64) << np.uint64(32) | right[reach - n].astype(np.uint64)
+        order = np.argsort(both, kind="stable")
+        new = np.concatenate([[True], both[order][1:] != both[order][:-1]])
+        out[order, n] = np.minimum.reduceat(doc[order], np.flatnonzero(new))[np.cumsum(new) - 1] < doc[order]
+    return out
+
+
+def _numbered(group: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Groups parted by a word, numbered from 0."""
+    # the sum and the word tell the group: multiplying by an odd number loses nothing
+    order, new = sorted_pairs(mixed(word + group * np.uint64(0x9E3779B97F4A7C15)), word)
+    out = np.empty(len(order), np.uint32)
+    out[order] = np.cumsum(new) - 1
+    return out
 
 
 def sorted_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,28 +208,31 @@ def _meet_anchors(sent: pa.Table) -> pa.Table:
     return _answer(sent, 1, np.split(count[number] > 1, np.cumsum([len(k) for k in keys])[:-1]))
 
 
-def _meet_windows(sent: pa.Table) -> pa.Table:
-    """Which windows a block with a smaller document has sent too."""
-    a, b = ([np.frombuffer(x, np.uint64) for x in sent.column(c).to_pylist()] for c in "ab")
+def _meet_around(sent: pa.Table) -> pa.Table:
+    """Which windows around its anchors a block holds that a smaller document holds too."""
+    a = [np.frombuffer(x, np.uint64) for x in sent.column("a").to_pylist()]
     sizes = [len(x) for x in a]
+    words = [np.frombuffer(x, np.uint64).reshape(n, -1) for x, n in zip(sent.column("b").to_pylist(), sizes, strict=True)]
     doc = np.concatenate([_unpacked(x, n) for x, n in zip(sent.column("doc").to_pylist(), sizes, strict=True)])
-    order, new = sorted_pairs(np.concatenate(a), np.concatenate(b))
-    least = np.minimum.reduceat(doc[order], np.flatnonzero(new))[np.cumsum(new) - 1]
-    smaller = np.empty(len(doc), bool)
-    smaller[order] = least < doc[order]
-    return _answer(sent, 2, np.split(smaller, np.cumsum(sizes)[:-1]))
+    smaller = extended(np.concatenate(a), np.concatenate(words), doc)
+    return _answer(sent, 2, [x.ravel() for x in np.split(smaller, np.cumsum(sizes)[:-1])])
 
 
 def _covered(docs: Block, anchor_bits: dict[int, bytes], window_bits: dict[int, bytes], n: int) -> dict[int, np.ndarray]:
     """By document's number, which of its words lie in a repeat."""
-    a, _, least, place, chosen = docs.windows(_elsewhere(anchor_bits, n))
-    if not len(chosen):
+    keys, _, least, of, place, owner, head, many = docs.around(_elsewhere(anchor_bits, n))
+    if not len(keys):
         return {}
-    owner = docs.owner[chosen]
-    hit = chosen[joined_bits(window_bits, cuts(a, n))[place] | (least[place] < docs.ids[owner])]
-    edge = np.bincount(docs.starts[hit], minlength=len(docs.hashes) + 1) - np.bincount(docs.starts[hit] + docs.span, minlength=len(docs.hashes) + 1)
+    wide = docs.span - docs.seed + 1
+    smaller = joined_bits(window_bits, cuts(keys, n) * wide).reshape(-1, wide)
+    window = np.repeat(head - np.cumsum(many) + many, many) + np.arange(many.sum())  # the windows of each occurrence
+    per = np.repeat(np.arange(len(of)), many)
+    start = docs.starts[window]
+    hit = start[smaller[of[per], place[per] - start] | (least[of[per]] < docs.ids[owner[per]])]
+    edge = np.bincount(hit, minlength=len(docs.hashes) + 1) - np.bincount(hit + docs.span, minlength=len(docs.hashes) + 1)
     inside = np.cumsum(edge) > 0
-    return {k: inside[docs.begin[k] : docs.begin[k + 1]] for k in np.unique(docs.owner[hit]).tolist()}
+    touched = np.unique(np.searchsorted(docs.begin, hit, side="right") - 1)
+    return {k: inside[docs.begin[k] : docs.begin[k + 1]] for k in touched.tolist()}
 
 
 def repeats(covered: np.ndarray) -> list[tuple[int, int]]:
@@ -204,11 +255,13 @@ def without(text: str, covered: np.ndarray) -> str:
     return "".join(out)
 
 
-def substring_dedup(docs: DataFrame, result, schema: str, span: int = SPAN, seed: int = SEED) -> DataFrame:
-    """``result(table, Block, covered)`` of each block; ``docs`` has doc_id and text, and what ``result`` reads."""
+def substring_dedup(docs: DataFrame, result, schema: str, span: int = SPAN, seed: int | None = None) -> DataFrame:
+    """``result(table, Block, covered)`` of each block; ``docs`` has doc_id and text, and what ``result`` reads. ``seed`` is half of ``span`` if not given."""
+    seed = max(1, span // 2) if seed is None else seed
     if not 0 < seed <= span:
         raise ValueError("seed must be between 1 and span")
-    blocks, n = packed_blocks(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id")
+    # rows without a doc_id take no part: any block will do, but not one for all
+    blocks, n = packed_blocks(docs.withColumn("doc_id", F.col("doc_id").cast("long")), F.coalesce("doc_id", F.xxhash64("text")))
 
     def seeds(t: pa.Table) -> pa.Table:
         keys, *_ = Block(opened(t), span, seed).seeds()
@@ -218,9 +271,9 @@ def substring_dedup(docs: DataFrame, result, schema: str, span: int = SPAN, seed
     def extend(key, t: pa.Table, answers: pa.Table) -> pa.Table:
         if not t.num_rows:
             return pa.table({"block": pa.array([], pa.int64()), "bucket": pa.array([], pa.int64()), **{c: pa.array([], pa.binary()) for c in ("a", "b", "doc")}})
-        a, b, least, *_ = Block(opened(t), span, seed).windows(_elsewhere(_bits_of(answers, 1), n))
+        keys, words, least, *_ = Block(opened(t), span, seed).around(_elsewhere(_bits_of(answers, 1), n))
         give_back()
-        return _sent(key[0].as_py(), cuts(a, n), a, b, least)
+        return _sent(key[0].as_py(), cuts(keys, n), keys, words, least)
 
     def finish(key, t: pa.Table, answers: pa.Table) -> pa.Table:
         own = Block(t := opened(t), span, seed)
@@ -230,7 +283,7 @@ def substring_dedup(docs: DataFrame, result, schema: str, span: int = SPAN, seed
         return out
 
     first = blocks.groupBy("block").applyInArrow(seeds, SENT).groupBy("bucket").applyInArrow(_meet_anchors, ANSWER)
-    second = blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(extend, SENT).groupBy("bucket").applyInArrow(_meet_windows, ANSWER)
+    second = blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(extend, SENT).groupBy("bucket").applyInArrow(_meet_around, ANSWER)
     return blocks.groupBy("block").cogroup(first.union(second).groupBy("block")).applyInArrow(finish, schema)
 
 

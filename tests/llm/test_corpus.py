@@ -188,6 +188,31 @@ def test_substrings_by_brute_force(spark):
     assert {r["doc_id"]: r["kept_sha256"] for r in found.collect()} == want
 
 
+def test_extension_by_brute_force():
+    """Occurrences of few anchors with few words around them, cut off at the texts' ends."""
+    rng = np.random.default_rng(12)
+    keys, words, doc = rng.integers(1, 4, 300).astype(np.uint64), rng.integers(1, 3, (300, 8)).astype(np.uint64), rng.integers(0, 50, 300)
+    words[:40, 0] = words[20:60, 7] = 0
+    found = substring_dedup.extended(keys, words, doc)
+    for n in range(5):
+        least = {}
+        window = lambda i, n=n: (keys[i], *words[i, 4 - n : 8 - n])
+        for i in range(300):
+            least[window(i)] = min(least.get(window(i), 99), doc[i])
+        assert found[:, n].tolist() == [bool(least[window(i)] < doc[i]) for i in range(300)]
+
+
+@pytest.mark.parametrize("seed", [1, 4, 13])
+def test_substrings_with_any_seed(spark, seed):
+    """Periodic texts, whose anchors stand in many places of one window, and rows without a doc_id."""
+    random.seed(seed)
+    rows = [(k, " ".join(["a b"] * random.randint(0, 20) + [random.choice("abc") for _ in range(random.randint(0, 30))]), "s") for k in range(40)]
+    found = substring_dedup.substring_dedup(docs(spark, rows + [(None, rows[3][1], "s")]).select("doc_id", "text"), substring_dedup._digests, "doc_id long, n_words long, n_removed long, kept_sha256 string", seed=seed)
+    want = {i: hashlib.sha256(" ".join(w).encode()).hexdigest() for i, w in brute_repeats(rows, 13).items()}
+    got = found.collect()
+    assert {r["doc_id"]: r["kept_sha256"] for r in got if r["doc_id"] is not None} == want and [r["n_removed"] for r in got if r["doc_id"] is None] == [0]
+
+
 def test_cut_texts_keep_their_lines(spark):
     shared = " ".join(f"s{k}" for k in range(60))
     rows = [(1, f"first\n{shared}\nend", "s"), (2, f"my own\nlines  here\n{shared}\nlast one", "s"), (3, shared, "s")]
@@ -348,6 +373,38 @@ def test_bpe_as_the_library_does(spark):
         assert digests[k]["ids_sha256"] == hashlib.sha256(ids).hexdigest() and digests[k]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest() and digests[k]["n_tokens"] == len(ids) // 4
 
 
+def merged(token, ranks):
+    """Byte pairs merged by rank, the lowest first, the leftmost of equals: what the vocabulary's ranks mean."""
+    parts = [token[i : i + 1] for i in range(len(token))]
+    while len(parts) > 1:
+        rank, at = min((ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+        if rank == 1 << 60:
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return [ranks[p] for p in parts]
+
+
+def test_bpe_by_its_ranks(spark):
+    """Whole documents against the pattern and an independent merge loop; chunks of few characters give the same."""
+    import base64
+
+    with open(bpe.vocabulary_path(), "rb") as f:
+        ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    known = {}
+    want = {}
+    for i, t in texts.items():
+        tokens = bpe.splitter().findall(t or "")
+        for w in set(tokens) - known.keys():
+            known[w] = merged(w.encode(), ranks)
+        want[i] = [x for w in tokens for x in known[w]]
+    found = {r["doc_id"]: r["ids"] for r in bpe.encode_texts(docs(spark, [(i, t, "s") for i, t in texts.items()])).collect()}
+    assert found == want
+    few = list(texts.items())[:7]
+    told = [r for k in range(0, 7, 3) for r in bpe._sent_chunk(k, [i for i, _ in few[k : k + 3]], [t for _, t in few[k : k + 3]], 5)]
+    assert sum(r.get("ids") is not None for r in told) == 3 and {r["bucket"] for r in told} == set(range(5))
+
+
 def chat(spark, rows):
     found = tool_chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, level string")).collect()
     return sorted(found, key=lambda r: (str(r["conv_id"]), r["position"]))
