@@ -2,10 +2,10 @@ r"""Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
 Texts become their pre-tokens, the matches of the pre-tokenizer's pattern, with positions. They
 are counted off chunk by chunk (texts of some millions of characters, where they lie: no text
-is shuffled): each distinct pre-token of a chunk goes once, with its positions there, to a
-bucket by its hash. A bucket encodes each distinct pre-token once, by the public vocabulary's
-ranks; the ids are joined to its positions and go back to the chunk, which is reassembled by
-position. Decoding joins the ids with the token-byte table (50,256 entries, read by every
+is shuffled): each distinct pre-token of a chunk goes once to a bucket by its hash, its positions
+to the task that will put the chunk together. A bucket encodes each distinct pre-token once, by
+the public vocabulary's ranks; the ids go back to the chunk and are joined to the positions, by
+which it is reassembled. Both sorts of rows leave in one exchange, which both steps read. Decoding joins the ids with the token-byte table (50,256 entries, read by every
 worker from the vocabulary file: a map-side join).
 
 What moves is one compressed row a chunk and bucket: words, positions as differences, ids. A row
@@ -132,8 +132,10 @@ def _cut_up(flat: bytes, sizes: np.ndarray) -> list[bytes]:
     return [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
-SENT = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), *((c, pa.binary()) for c in ("lengths", "flat", "counts", "places", "ids", "sizes", "nulls"))])
-CODED = pa.schema([("chunk", pa.int64()), *((c, pa.binary()) for c in ("counts", "places", "n_ids", "codes", "ids", "sizes", "nulls"))])
+#: Keys below CHUNKS are buckets, others chunks.
+CHUNKS = 1 << 62
+SENT = pa.schema([("key", pa.int64()), ("chunk", pa.int64()), ("bucket", pa.int64()), *((c, pa.binary()) for c in ("lengths", "flat", "counts", "places", "ids", "sizes", "nulls"))])
+CODED = pa.schema([("key", pa.int64()), ("bucket", pa.int64()), ("n_ids", pa.binary()), ("codes", pa.binary())])
 _KINDS = {pa.int64(): "long", pa.binary(): "binary"}
 
 
@@ -146,7 +148,7 @@ def _rows(schema: pa.Schema, found: list[dict]) -> pa.Table:
 
 
 def _sent_chunk(chunk: int, ids: list[int | None], texts: list[str | None], n: int) -> list[dict]:
-    """A row for each bucket of the chunk's pre-tokens, and one, with ``ids``, for its documents."""
+    """For each bucket a row to it, of the chunk's pre-tokens, and one to the chunk, of their positions; and one, with ``ids``, of its documents."""
     tokens, order, sizes = pre_tokens(texts)
     raw = [t.encode() for t in tokens]
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64, len(raw))
@@ -158,26 +160,26 @@ def _sent_chunk(chunk: int, ids: list[int | None], texts: list[str | None], n: i
     places = np.argsort(rank[order], kind="stable")  # by pre-token in that order, then by position
     counts = np.bincount(rank[order], minlength=len(raw))
     edge, at = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=n))]), np.concatenate([[0], np.cumsum(counts)])
-    out = [{"bucket": chunk % n, "chunk": chunk, "ids": np.array([i or 0 for i in ids], np.int64).tobytes(), "sizes": sizes.astype(np.int64).tobytes(), "nulls": np.array([i is None for i in ids]).tobytes()}]
+    out = [{"key": CHUNKS + chunk, "ids": np.array([i or 0 for i in ids], np.int64).tobytes(), "sizes": sizes.astype(np.int64).tobytes(), "nulls": np.array([i is None for i in ids]).tobytes()}]
     for r in np.flatnonzero(np.diff(edge)).tolist():
         own = [raw[i] for i in by_bucket[edge[r] : edge[r + 1]].tolist()]
         part = places[at[edge[r]] : at[edge[r + 1]]].astype(np.uint32)
-        out.append({
-            "bucket": r, "chunk": chunk, "lengths": _squeezed_numbers(np.fromiter(map(len, own), np.int64, len(own))), "flat": _squeeze(b"".join(own)),
-            "counts": _squeezed_numbers(counts[edge[r] : edge[r + 1]]), "places": _squeezed_numbers(np.diff(part, prepend=np.uint32(0))),
-        })
+        out.append({"key": r, "chunk": CHUNKS + chunk, "bucket": r, "lengths": _squeezed_numbers(np.fromiter(map(len, own), np.int64, len(own))), "flat": _squeeze(b"".join(own))})
+        out.append({"key": CHUNKS + chunk, "bucket": r, "counts": _squeezed_numbers(counts[edge[r] : edge[r + 1]]), "places": _squeezed_numbers(np.diff(part, prepend=np.uint32(0)))})
     return out
 
 
-def _joined(parts: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a chunk's rows: doc_ids, pre-tokens of each document, and all ids with where each pre-token's begin."""
+def _joined(parts: pa.Table, coded: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a chunk's rows and its buckets' answers: doc_ids, pre-tokens of each document, and all ids with where each pre-token's begin."""
     told = next(r for r in parts.select(["ids", "sizes", "nulls"]).to_pylist() if r["ids"] is not None)
     ids = pa.array(np.frombuffer(told["ids"], np.int64), mask=np.frombuffer(told["nulls"], bool))
     sizes = np.frombuffer(told["sizes"], np.int64)
+    answers = {r["bucket"]: r for r in coded.to_pylist()}
     places, lengths, first, codes, base = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, "<u4")], 0
-    for r in parts.select(["counts", "places", "n_ids", "codes"]).to_pylist():
+    for r in parts.select(["bucket", "counts", "places"]).to_pylist():
         if r["counts"] is not None:
-            counts, n_ids, code = _spread_numbers(r["counts"]), _spread_numbers(r["n_ids"]).astype(np.int64), _spread_numbers(r["codes"])
+            told = answers[r["bucket"]]
+            counts, n_ids, code = _spread_numbers(r["counts"]), _spread_numbers(told["n_ids"]).astype(np.int64), _spread_numbers(told["codes"])
             places.append(np.cumsum(_spread_numbers(r["places"]), dtype=np.uint32).astype(np.int64))
             lengths.append(np.repeat(n_ids, counts))
             first.append(np.repeat(base + np.cumsum(n_ids) - n_ids, counts))
@@ -212,33 +214,34 @@ def encode_blocks(docs: DataFrame, result, schema: str, path: str | None = None)
         give_back()
 
     def encode(sent: pa.Table) -> pa.Table:
-        coder, _ = tokenizer(path)
-        known: dict[bytes, list[int]] = {}
         out = []
-        for r in sent.to_pylist():
-            row = {c: r[c] for c in ("chunk", "counts", "places", "ids", "sizes", "nulls")}
-            if r["flat"] is not None:
+        if sent.column("key")[0].as_py() < CHUNKS:
+            coder, _ = tokenizer(path)
+            known: dict[bytes, list[int]] = {}
+            for r in sent.select(["chunk", "bucket", "lengths", "flat"]).to_pylist():
                 own = []
                 for w in _cut_up(_spread(r["flat"]), _spread_numbers(r["lengths"])):
                     code = known.get(w)
                     if code is None:
                         code = known[w] = coder._encode_single_piece(w)
                     own.append(code)
-                row["n_ids"] = _squeezed_numbers(np.fromiter(map(len, own), np.int64, len(own)))
-                row["codes"] = _squeezed_numbers(np.array([x for code in own for x in code], np.int64))
-            out.append(row)
+                n_ids, codes = (_squeezed_numbers(np.array(x, np.int64)) for x in ([len(c) for c in own], [x for c in own for x in c]))
+                out.append({"key": r["chunk"], "bucket": r["bucket"], "n_ids": n_ids, "codes": codes})
         return _rows(CODED, out)
 
-    def assemble(parts: pa.Table) -> pa.Table:
-        ids, sizes, flat, starts = _joined(parts)
+    def assemble(key, parts: pa.Table, coded: pa.Table) -> pa.Table:
+        if key[0].as_py() < CHUNKS:
+            return result(pa.array([], pa.int64()), iter(()))
+        ids, sizes, flat, starts = _joined(parts, coded)
         cuts = starts[np.concatenate([[0], np.cumsum(sizes)])].tolist()
         out = result(ids, (flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)))
         del flat, starts
         give_back()
         return out
 
-    sent = docs.select("doc_id", "text").mapInArrow(send, _ddl(SENT))
-    return sent.groupBy("bucket").applyInArrow(encode, _ddl(CODED)).groupBy("chunk").applyInArrow(assemble, schema)
+    sent = docs.select("doc_id", "text").mapInArrow(send, _ddl(SENT)).repartition(n, "key")
+    coded = sent.groupBy("key").applyInArrow(encode, _ddl(CODED))
+    return sent.groupBy("key").cogroup(coded.groupBy("key")).applyInArrow(assemble, schema)
 
 
 def encode_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
