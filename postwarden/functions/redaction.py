@@ -75,9 +75,10 @@ def redact(text: str | None, own: str | None = None) -> str:
 
 
 def leaks(text: str, redacted: str, shortest: int = 6) -> list[str]:
-    """Words with digits of a text that are still in its redacted form."""
+    """Words with digits of a text that are still in its redacted form; a URL may stay only if there was nothing to strip from it."""
     words = {w.strip(".,;:!?()[]<>\"'") for w in plain(text).split()}
-    return sorted(w for w in words if len(w) >= shortest and re.search(r"\d", w) and not w.lower().startswith("http") and w in redacted)
+    kept = {w for w in words if len(w) >= shortest and re.search(r"\d", w) and w in redacted}
+    return sorted(w for w in kept if not URL.fullmatch(w) or URL.sub(_site, w) != w)
 
 
 def redacted(text: Column | str, own: Column | str | None = None) -> Column:

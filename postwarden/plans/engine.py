@@ -15,7 +15,7 @@ from ..functions.redaction import redacted
 from ..functions.style import style
 from ..operators import contacts as G
 from ..operators import rules as R
-from ..operators.findings import FINDING, MODEL_VERSION, with_verdict
+from ..operators.findings import MODEL_VERSION, with_verdict
 
 MOST_PROMPT_BODY = 6000
 PROMPT_SYSTEM, PROMPT_MODEL = "Classify what this message asks of its reader.", "offline-intents-1"
@@ -144,18 +144,20 @@ def unanswered(verdicts: DataFrame, prompts: DataFrame, answers: DataFrame) -> D
 def pending(view: DataFrame, accounts: DataFrame, verdicts: DataFrame | None = None, redo: bool = False, limit: int | None = None) -> DataFrame:
     """Messages to judge, newest first: not sent or drafted, not from the account itself, not judged by this version."""
     own = accounts.select("account_id", canonical_address("email").alias("_own"), F.lower(F.trim("email")).alias("account_email"))
+    if "canonical_email" not in view.columns:
+        view = view.withColumn("canonical_email", canonical_address("from_addr"))
     rows = view.join(own, "account_id", "left").where(~F.arrays_overlap("labels", F.array(F.lit("SENT"), F.lit("DRAFT"))) & ~F.coalesce(F.col("canonical_email") == F.col("_own"), F.lit(False))).drop("_own")
     if verdicts is not None and not redo:
         rows = rows.join(verdicts.where(F.col("model_version") == MODEL_VERSION).select("message_id"), "message_id", "left_anti")
     return rows.orderBy(F.desc_nulls_last("received_at"), "message_id").limit(limit) if limit else rows
 
 
-def analyze(mail: DataFrame, people: DataFrame, accounts: DataFrame, profiles=None, intel=None, answers=None, verdicts=None, redo=False, limit=None, as_of: Column | None = None) -> DataFrame:
-    """The flagship plan: pending messages, their context, four layers, fusion, and intents where given."""
-    context = with_context(pending(views(mail), accounts, verdicts, redo, limit), people, accounts, profiles, intel)
+def analyze(mail: DataFrame, people: DataFrame, accounts: DataFrame, profiles=None, intel=None, answers=None, verdicts=None, redo=False, limit=None, as_of: Column | None = None, raw: DataFrame | None = None) -> DataFrame:
+    """The flagship plan: pending messages, their context, four layers, fusion, and intents where given.
+
+    Pages and styles are read of pending messages only; with ``raw`` (account_id, gmail_id, raw), so are their pictures.
+    """
+    view = views(pending(mail, accounts, verdicts, redo, limit))
+    context = with_context(view if raw is None else with_codes(view, raw), people, accounts, profiles, intel)
     found = judged(context, as_of)
     return found if answers is None else with_intents(found, prompt(context), answers)
-
-
-def empty_findings() -> Column:
-    return F.array().cast(f"array<{FINDING}>")

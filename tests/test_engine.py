@@ -237,3 +237,22 @@ def test_registration_work_list(spark, box):
     intel = spark.createDataFrame([("northwind.com", dt.datetime(2025, 1, 1), None, dt.datetime(2010, 1, 1))], "domain string, checked_at timestamp, error string, created_at timestamp")
     due = sync.domains_to_check(box["mail"].where("not array_contains(labels, 'SENT')"), intel, "2025-01-05")
     assert [r["domain"] for r in due.collect()] == ["northwind-payroll.com"]
+
+
+def test_pictures_are_read_in_the_whole_plan(spark, box, monkeypatch):
+    """A reader that finds a link in the picture of a message without words: the code and the link's own findings."""
+    from postwarden.plans import engine as E
+
+    picture = b"From: a@b.example\r\nContent-Type: image/png; name=x.png\r\nContent-Transfer-Encoding: base64\r\n\r\niVBORw0KGgo=\r\n"
+    raw = spark.createDataFrame([(1, "p", ["INBOX"], dt.datetime(2025, 9, 1), bytearray(picture))], "account_id long, gmail_id string, label_ids array<string>, received_at timestamp, raw binary")
+    monkeypatch.setattr(E, "payloads_of", lambda c: F.when(F.col(c).isNotNull(), F.array(F.lit("http://203.0.113.5/x"))))
+    found = codes(E.analyze(E.messages(raw), box["people"], box["accounts"], raw=raw).first())
+    assert {"QR_CODE_URL", "URL_IP_HOST"} <= set(found) and "QR_UNSCANNED_IMAGE" not in found
+    assert "QR_UNSCANNED_IMAGE" in codes(E.analyze(E.messages(raw), box["people"], box["accounts"]).first())
+
+
+def test_each_page_is_parsed_once(spark, box, tmp_path, monkeypatch):
+    """The whole plan runs the page UDF on each pending message once: the plan holds it once, below one stage."""
+    plan = engine.analyze(box["mail"], box["people"], box["accounts"], P.build(engine.views(box["mail"])))._jdf.queryExecution().optimizedPlan().toString()
+    judged = plan.split("visible_text")[0]
+    assert "CartesianProduct" not in plan and judged.count("ArrowEvalPython") + judged.count("EvalPython") >= 1
