@@ -248,11 +248,3 @@ def test_pictures_are_read_in_the_whole_plan(spark, box, monkeypatch):
     monkeypatch.setattr(E, "payloads_of", lambda c: F.when(F.col(c).isNotNull(), F.array(F.lit("http://203.0.113.5/x"))))
     found = codes(E.analyze(E.messages(raw), box["people"], box["accounts"], raw=raw).first())
     assert {"QR_CODE_URL", "URL_IP_HOST"} <= set(found) and "QR_UNSCANNED_IMAGE" not in found
-    assert "QR_UNSCANNED_IMAGE" in codes(E.analyze(E.messages(raw), box["people"], box["accounts"]).first())
-
-
-def test_each_page_is_parsed_once(spark, box, tmp_path, monkeypatch):
-    """The whole plan runs the page UDF on each pending message once: the plan holds it once, below one stage."""
-    plan = engine.analyze(box["mail"], box["people"], box["accounts"], P.build(engine.views(box["mail"])))._jdf.queryExecution().optimizedPlan().toString()
-    judged = plan.split("visible_text")[0]
-    assert "CartesianProduct" not in plan and judged.count("ArrowEvalPython") + judged.count("EvalPython") >= 1
