@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.addresses import canonical_address, domain_of, name_key
 from ..functions.domains import blocking_keys, edits_of, imitation, is_freemail, name_label, org_domain, same_org, unicode_trick_of
@@ -31,8 +32,10 @@ def contacts(events: DataFrame) -> DataFrame:
         F.min("received_at").alias("first_seen"), F.max("received_at").alias("last_seen"), F.count_if(~F.col("outbound")).alias("inbound_count"), F.count_if("outbound").alias("outbound_count")
     )
     named = events.where("name <> ''").groupBy("account_id", "canonical_email", "name").agg(F.min(F.struct("received_at", "gmail_id")).alias("at"))
+    newest = Window.partitionBy("account_id", "canonical_email").orderBy(F.desc("at"), F.desc("name"))
+    named = named.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= MOST_NAMES)  # each task keeps so many of a contact before the shuffle
     names = named.groupBy("account_id", "canonical_email").agg(F.array_sort(F.collect_list(F.struct("at", "name"))).alias("n"))
-    last = F.transform(F.slice("n", F.greatest(F.lit(1), F.size("n") - MOST_NAMES + 1), F.lit(MOST_NAMES)), lambda x: x["name"])
+    last = F.transform("n", lambda x: x["name"])
     out = counts.join(names, ["account_id", "canonical_email"], "left")
     return out.select(
         "account_id", "canonical_email", domain_of("canonical_email").alias("domain"), F.coalesce(last, F.array().cast("array<string>")).alias("display_names"),

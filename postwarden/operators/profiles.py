@@ -29,13 +29,13 @@ def technical_values() -> dict[str, Column]:
     }
 
 
-def usable(views: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
+def usable(views: DataFrame, verdicts: DataFrame | None = None, newest: int = NEWEST) -> DataFrame:
     """The newest messages of each sender that are neither sent mail nor judged dangerous."""
     rows = views.where(~F.array_contains("labels", "SENT") & (F.col("canonical_email") != ""))
     if verdicts is not None:
         rows = rows.join(verdicts.where("tier = 'danger'").select("message_id"), "message_id", "left_anti")
     order = Window.partitionBy(*KEY).orderBy(F.desc_nulls_last("received_at"), "message_id")
-    return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= NEWEST).drop("_n")
+    return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= newest).drop("_n")
 
 
 def histograms(samples: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from ..functions import domains as D
 from ..functions import filenames as N
 from ..functions import links as L
 from ..functions import redaction, style
+from ..functions.mail import order_hash
 from ..functions.markup import page
 from ..lexicons import CREDENTIAL_WORDS, EXTENSIONS, FREE_HOSTING, FREEMAIL, FUNCTION_WORDS, RELIEF, SEVERITIES
 from ..operators import contacts as G
@@ -23,6 +24,7 @@ from ..operators import findings as FI
 from ..operators import profiles as P
 from ..operators import rules as R
 from ..operators import sync as S
+from .reports import usage
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -368,8 +370,8 @@ def histogram_share_known(spark, sf_dir):
 
 @query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS k FROM events) WHERE k <= 40")
 def latest_n_per_contact(spark, sf_dir):
-    order = Window.partitionBy("user_id").orderBy(F.desc("ts"), "event_id")
-    return T(spark, sf_dir, "events").withColumn("k", F.row_number().over(order)).where("k <= 40").select("user_id", "event_id")
+    views = T(spark, sf_dir, "events").select(F.lit(1).alias("account_id"), C("user_id").cast("string").alias("canonical_email"), C("ts").alias("received_at"), C("event_id").alias("message_id"), F.array().cast("array<string>").alias("labels"), "user_id", "event_id")
+    return P.usable(views, newest=40).select("user_id", "event_id")
 
 
 @query("""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS h, unnest(range(len(regexp_extract_all(html, '<a href="([^"]*)"', 1)))) AS i FROM pages)
@@ -464,7 +466,13 @@ def prompt_hash(spark, sf_dir):
 @query("SELECT conv_id, substr(sha256(string_agg(lower(role), '|' ORDER BY turn)), 1, 32) AS order_hash FROM conversations WHERE role <> 'system' GROUP BY conv_id")
 def header_order_hash(spark, sf_dir):
     rows = T(spark, sf_dir, "conversations").where("role <> 'system'").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("r"))
-    return rows.select("conv_id", F.substring(F.sha2(F.array_join(F.transform("r", lambda x: F.lower(x["role"])), "|"), 256), 1, 32).alias("order_hash"))
+    return rows.select("conv_id", order_hash(C("r.role")).alias("order_hash"))
+
+
+@query("""SELECT l_returnflag AS intent, count(*) AS calls, sum(l_partkey)::BIGINT AS input_tokens, sum(l_suppkey)::BIGINT AS output_tokens, (sum(l_partkey)::BIGINT * 5.0::DOUBLE + sum(l_suppkey)::BIGINT * 25.0::DOUBLE) / 1e6::DOUBLE AS cost FROM lineitem GROUP BY l_returnflag""")
+def classifier_usage(spark, sf_dir):
+    answers = T(spark, sf_dir, "lineitem").select(C("l_returnflag").alias("intent"), C("l_partkey").alias("input_tokens"), C("l_suppkey").alias("output_tokens"))
+    return usage(answers, "intent")
 
 
 _EXTS = "['pdf','pdf.exe','zip','docm','html','jpg.js','one','txt','iso','xls']"

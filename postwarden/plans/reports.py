@@ -43,6 +43,20 @@ def summary(verdicts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return verdicts.groupBy("tier").agg(F.count("*").alias("n")), codes.orderBy(F.desc("n"), "code").limit(20)
 
 
+def usage(answers: DataFrame, *by: str, price_in: float = 5.0, price_out: float = 25.0) -> DataFrame:
+    """Calls, tokens and cost of a classifier's answers (input_tokens, output_tokens), over all or by groups; prices are for a million tokens."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    sums = answers.groupBy(*by).agg(F.count("*").alias("calls"), total("input_tokens"), total("output_tokens"))
+    return sums.withColumn("cost", (F.col("input_tokens") * price_in + F.col("output_tokens") * price_out) / 1e6)
+
+
+def profile_list(profiles: DataFrame, n: int = 25) -> DataFrame:
+    """The senders with a profile, those of most samples first: samples, usual greeting, mean words, links and files sent."""
+    usual = F.array_max(F.transform(F.map_entries("style.greetings"), lambda e: F.struct(e["value"].alias("n"), e["key"].alias("greeting"))))
+    rows = profiles.select("account_id", "canonical_email", "samples", usual["greeting"].alias("greeting"), F.col("style.mean_words").alias("mean_words"), "relationship.sent_links", "relationship.sent_attachments")
+    return rows.orderBy(F.desc("samples"), "canonical_email").limit(n)
+
+
 def verdict(verdicts: DataFrame, which: str) -> DataFrame:
     """The findings of one message, by gmail_id or number, heaviest first."""
     one = verdicts.where((F.col("gmail_id") == which) | (F.col("message_id") == F.lit(which).try_cast("long")))

@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MOST_RAW = 5 << 20
 
 
+def _below(file: Column, folder: str) -> Column:
+    """A file's path below a folder; its name, if the folder is the file or is named by a pattern."""
+    last = re.sub(r"^[a-z]+:/+", "/", folder.rstrip("/"))
+    under = F.substring_index(file, last + "/", -1)
+    return F.when(file.contains(last + "/"), under).otherwise(F.element_at(F.split(file, "/"), -1))
+
+
 def eml_files(spark: SparkSession, path: str, account_id: int = 1) -> DataFrame:
-    """account_id, gmail_id (file name), label_ids, received_at (null: the Date header decides) and raw of .eml files."""
+    """account_id, gmail_id (path below the folder), label_ids, received_at (null: the Date header decides) and raw of .eml files."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.eml").option("recursiveFileLookup", True).load(path)
     return files.select(
-        F.lit(account_id).cast("long").alias("account_id"), F.element_at(F.split("path", "/"), -1).alias("gmail_id"), F.array().cast("array<string>").alias("label_ids"),
+        F.lit(account_id).cast("long").alias("account_id"), _below(F.col("path"), path).alias("gmail_id"), F.array().cast("array<string>").alias("label_ids"),
         F.lit(None).cast("timestamp").alias("received_at"), F.col("content").alias("raw"),
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +14,12 @@ from ..sources.tables import Tables, shared_folder
 
 
 def drained(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet") -> DataFrame:
-    """All that is in a folder now, taken as a stream into a table; a second run would take only what is new."""
+    """All that is in a folder, or in one file, now, taken as a stream into a table that goes when the driver ends."""
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(schema).format(fmt).load(f"{path}*")  # a pattern also takes a single file
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    whole = re.sub(r"([\\*?\[\]{}])", r"\\\1", path.rstrip("/"))
+    stream = spark.readStream.schema(schema).format(fmt).load(whole[:-1] + f"[{whole[-1]}]")  # a pattern of one name, as a stream takes a single file by pattern only
     stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(schema).parquet(f"{folder}/rows")
 
