@@ -112,6 +112,26 @@ def test_licenses(spark, text, name):
     assert license_scan.scan_licenses(docs(spark, [(1, text, "s")])).first()["license"] == name
 
 
+def test_licenses_in_longer_lines_and_in_full(spark, tmp_path):
+    full = {n: t for n, _, t in license_scan.TEMPLATES + license_scan.LICENCES}
+    bsd, rng = full["bsd-3-clause/text"], random.Random(5)
+    texts = [
+        "We ship it here. Released under the MIT License. See the site for more", f"intro words\n\n{bsd.replace('SPECIAL, ', '')}\n\nmore", full["bsd-2-clause/text"], full["bsd"],
+        "x " * 50 + full["mit/full"] + " y" * 60, "the license " * 3000, "of the author " * 40 + "\n" + full["zlib/text"][:300], None, "", "word",
+    ]
+    for n in sorted(full):  # words lost, doubled and exchanged, inside one long line
+        words = full[n].split()
+        for share in (0.0, 0.04, 0.12):
+            kept = [rng.choice(words) if rng.random() < share else w for w in words if rng.random() >= share / 2]
+            texts.append(f"before it {' '.join(kept)} and after it")
+    d = docs(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    d.coalesce(1).write.parquet(f"{tmp_path}/documents")
+    found = license_scan.scan_licenses(d)
+    rows = {r["doc_id"]: r for r in found.collect()}
+    assert [rows[i]["license"] for i in range(6)] == ["mit", "bsd-3-clause/text", "bsd-2-clause/text", "bsd", "mit/full", None]
+    assert plain(found.toPandas()) == duck(license_scan.OP3_SQL, str(tmp_path))
+
+
 def test_targets_and_flow():
     sizes, weights = {"a": 10, "b": 100, "c": 100, "d": 100}, {"a": 3, "b": 1, "c": 2, "d": 3}
     t = mixing.weighted_targets(sizes, weights)
