@@ -24,7 +24,7 @@ from ..operators import findings as FI
 from ..operators import profiles as P
 from ..operators import rules as R
 from ..operators import sync as S
-from .reports import usage
+from . import reports
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -77,7 +77,7 @@ def host_classes(spark, sf_dir):
 @query("""SELECT page_id, count(*) AS n_links, count(DISTINCT h) AS n_distinct FROM
  (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS h FROM pages) GROUP BY page_id""")
 def link_extract_counts(spark, sf_dir):
-    found = T(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("h"))
+    found = T(spark, sf_dir, "pages").select("page_id", F.explode(page("html")["links"]["href"]).alias("h"))
     return found.groupBy("page_id").agg(F.count("*").alias("n_links"), F.countDistinct("h").alias("n_distinct"))
 
 
@@ -170,9 +170,13 @@ t AS (SELECT *, inbound_count + 3 * outbound_count AS affinity, floor((least(1.0
  (outbound_count > 0 OR inbound_count >= 3) AS reference_grade FROM g) """
 
 
-def _graph(spark, sf_dir):
+def _people(spark, sf_dir) -> DataFrame:
     events = T(spark, sf_dir, "orders").select(F.lit(1).alias("account_id"), C("o_orderkey").cast("string").alias("gmail_id"), C("o_orderdate").alias("received_at"), (C("o_orderstatus") != "F").alias("outbound"), C("o_custkey").cast("string").alias("canonical_email"), F.lit("").alias("name"))
-    people = G.contacts(events)
+    return G.contacts(events)
+
+
+def _graph(spark, sf_dir):
+    people = _people(spark, sf_dir)
     return people.select(C("canonical_email").cast("long").alias("contact"), "inbound_count", "outbound_count", "first_seen", "last_seen", G.affinity().alias("affinity"), G.trust().alias("trust"), G.reference_grade().alias("reference_grade"))
 
 
@@ -188,25 +192,32 @@ def top_contacts(spark, sf_dir):
 
 @query(_GRAPH + "SELECT n_name AS org, max(trust) AS trust, count(*) AS n_contacts FROM t JOIN customer ON contact = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE reference_grade GROUP BY n_name")
 def reference_domains(spark, sf_dir):
-    rows = _graph(spark, sf_dir).where("reference_grade").join(T(spark, sf_dir, "customer"), C("contact") == C("c_custkey")).join(T(spark, sf_dir, "nation"), C("c_nationkey") == C("n_nationkey"))
-    return rows.groupBy(C("n_name").alias("org")).agg(F.max("trust").alias("trust"), F.count("*").alias("n_contacts"))
+    place = F.concat(F.lower(F.replace("n_name", F.lit(" "), F.lit("-"))), F.lit(".example"))
+    homes = T(spark, sf_dir, "customer").join(T(spark, sf_dir, "nation"), C("c_nationkey") == C("n_nationkey")).select(C("c_custkey").cast("string").alias("canonical_email"), place.alias("domain"), "n_name")
+    people = _people(spark, sf_dir).drop("domain").join(homes, "canonical_email")
+    found = G.reference_domains(people, spark.createDataFrame([], "account_id int, email string"))
+    sizes = people.where(G.reference_grade()).groupBy(C("domain").alias("org"), "n_name").agg(F.count("*").alias("n_contacts"))
+    return found.join(sizes, "org").select(C("n_name").alias("org"), "trust", "n_contacts")
 
 
 @query(_GRAPH + f", k AS (SELECT {A.sql_name_key('c_name')} AS key, contact, trust FROM t JOIN customer ON contact = c_custkey WHERE reference_grade) SELECT key, count(*) AS n_contacts, max(trust) AS best_trust, min(contact) AS first_contact FROM k WHERE len(key) >= 3 GROUP BY key")
 def reference_names(spark, sf_dir):
-    rows = _graph(spark, sf_dir).where("reference_grade").join(T(spark, sf_dir, "customer"), C("contact") == C("c_custkey")).withColumn("key", A.name_key("c_name")).where(F.length("key") >= 3)
-    return rows.groupBy("key").agg(F.count("*").alias("n_contacts"), F.max("trust").alias("best_trust"), F.min("contact").alias("first_contact"))
+    names = T(spark, sf_dir, "customer").select(C("c_custkey").cast("string").alias("canonical_email"), F.array("c_name").alias("display_names"))
+    rows = G.reference_names(_people(spark, sf_dir).drop("display_names").join(names, "canonical_email"))
+    return rows.groupBy("key").agg(F.count("*").alias("n_contacts"), F.max("trust").alias("best_trust"), F.min(C("canonical_email").cast("long")).alias("first_contact"))
 
 
 @query("SELECT count(*) AS messages, count(DISTINCT o_custkey) AS contacts, count(*) FILTER (o_orderstatus = 'F') AS received, count(*) FILTER (o_orderstatus <> 'F') AS sent, min(o_orderdate) AS first_at, max(o_orderdate) AS last_at FROM orders")
 def store_stats(spark, sf_dir):
-    return T(spark, sf_dir, "orders").agg(F.count("*").alias("messages"), F.countDistinct("o_custkey").alias("contacts"), F.count_if(C("o_orderstatus") == "F").alias("received"), F.count_if(C("o_orderstatus") != "F").alias("sent"), F.min("o_orderdate").alias("first_at"), F.max("o_orderdate").alias("last_at"))
+    labels = F.when(C("o_orderstatus") == "F", F.array(F.lit("INBOX"))).otherwise(F.array(F.lit("SENT")))
+    mail = T(spark, sf_dir, "orders").select(labels.alias("labels"), C("o_orderdate").alias("received_at"), F.lit(None).cast("string").alias("parse_error"))
+    return reports.stats(mail, _people(spark, sf_dir)).select("messages", "contacts", "received", "sent", "first_at", "last_at")
 
 
 @query("SELECT coalesce(l_returnflag, '(none)') AS dmarc, count(*) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
 def auth_breakdown(spark, sf_dir):
     rows = T(spark, sf_dir, "orders").join(T(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag"), C("o_orderkey") == C("l_orderkey"), "left")
-    return rows.groupBy(F.coalesce("l_returnflag", F.lit("(none)")).alias("dmarc")).agg(F.count("*").alias("n"))
+    return reports.auth_breakdown(rows.select(F.struct(C("l_returnflag").alias("dmarc")).alias("auth")))
 
 
 # ---------------------------------------------------------------- fusion: an order is a message, a line a finding
@@ -377,7 +388,7 @@ def latest_n_per_contact(spark, sf_dir):
 @query("""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS h, unnest(range(len(regexp_extract_all(html, '<a href="([^"]*)"', 1)))) AS i FROM pages)
 SELECT page_id, substr(h, 1, 2) AS code, arg_min(h, i) AS href, min(i)::INTEGER AS position FROM l GROUP BY page_id, substr(h, 1, 2)""")
 def first_link_per_code(spark, sf_dir):
-    found = T(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("i", "h"))
+    found = T(spark, sf_dir, "pages").select("page_id", F.posexplode(page("html")["links"]["href"]).alias("i", "h"))
     return found.groupBy("page_id", F.substring("h", 1, 2).alias("code")).agg(F.min_by("h", "i").alias("href"), F.min("i").alias("position"))
 
 
@@ -472,7 +483,7 @@ def header_order_hash(spark, sf_dir):
 @query("""SELECT l_returnflag AS intent, count(*) AS calls, sum(l_partkey)::BIGINT AS input_tokens, sum(l_suppkey)::BIGINT AS output_tokens, (sum(l_partkey)::BIGINT * 5.0::DOUBLE + sum(l_suppkey)::BIGINT * 25.0::DOUBLE) / 1e6::DOUBLE AS cost FROM lineitem GROUP BY l_returnflag""")
 def classifier_usage(spark, sf_dir):
     answers = T(spark, sf_dir, "lineitem").select(C("l_returnflag").alias("intent"), C("l_partkey").alias("input_tokens"), C("l_suppkey").alias("output_tokens"))
-    return usage(answers, "intent")
+    return reports.usage(answers, "intent")
 
 
 _EXTS = "['pdf','pdf.exe','zip','docm','html','jpg.js','one','txt','iso','xls']"
