@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ..lexicons import CONFUSABLES, COUSIN_AFFIXES, FREEMAIL, MULTI_SUFFIXES, SCRIPTS
 
 SHORTEST_NAME = 4
+_ORG = r"(?:\A|\.)([^.]*\.(?:" + "|".join(map(re.escape, sorted(MULTI_SUFFIXES))) + r")|[^.]*\.[^.]*|[^.]*)\z"
 
 
 def _clean(domain: Column | str) -> Column:
@@ -20,9 +22,7 @@ def _clean(domain: Column | str) -> Column:
 
 def org_domain(domain: Column | str) -> Column:
     """The registrable domain: two labels, or three under a suffix of two."""
-    d = _clean(domain)
-    two = F.substring_index(d, ".", -2)
-    return F.when(two.isin(*MULTI_SUFFIXES), F.substring_index(d, ".", -3)).otherwise(two)
+    return F.regexp_extract(_clean(domain), _ORG, 1)
 
 
 def name_label(domain: Column | str) -> Column:

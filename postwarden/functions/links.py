@@ -10,7 +10,20 @@ from .domains import org_domain
 
 URL = r"(?i)\b(?:(?:https?|ftp)://[^\s<>\"'\]\)]+|www\.[^\s<>\"'\]\)]+)"
 IPV4 = r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])$"
-IPV6 = r"^(?=.*:.*:)[0-9a-f:]+(?:%.*)?$"
+_HEX = "[0-9a-f]{1,4}"
+
+
+def _ipv6() -> str:
+    """Eight groups of hex digits, or fewer around one ``::``; the last two may be an IPv4 address."""
+    forms = [f"(?:{_HEX}:){{7}}{_HEX}", f"(?:{_HEX}:){{6}}{IPV4[1:-1]}"]
+    for left in range(8):
+        most = 7 - left
+        right = [f"(?:{_HEX}:){{0,{most - 1}}}{_HEX}"] * (most > 0) + [f"(?:{_HEX}:){{0,{most - 2}}}{IPV4[1:-1]}"] * (most > 1)
+        forms.append((f"{_HEX}(?::{_HEX}){{{left - 1}}}" if left else "") + "::" + (f"(?:{'|'.join(right)})?" if right else ""))
+    return f"^(?:{'|'.join(forms)})(?:%.+)?$"
+
+
+IPV6 = _ipv6()
 
 
 def let(value: Column, body) -> Column:

@@ -31,7 +31,8 @@ SHOWN_SEGMENTS, LONGEST_SEGMENT = 2, 24
 
 def plain(text: str | None) -> str:
     """A body without tags, conditional comments and runs of style declarations."""
-    return " ".join(CSS.sub(" ", MARKUP.sub(" ", text or "")).split())
+    out = MARKUP.sub(" ", text or "")
+    return " ".join((CSS.sub(" ", out) if out.count(";") >= 3 and ":" in out else out).split())
 
 
 def _site(m: re.Match) -> str:
@@ -59,9 +60,12 @@ def _labelled(m: re.Match) -> str:
     return f"{m[1]} [ACCOUNT]" if says_code and not PROSE.match(m[2].strip()) else m[0]
 
 
+_DIGIT = re.compile(r"\d")
+#: (pattern, what to put, what every match of it holds: texts without that are not searched)
 STEPS = (
-    (URL, _site), (ETH, "[WALLET]"), (BTC, "[WALLET]"), (IBAN, _number("[IBAN]")), (CARD, _number("[CARD-NUMBER]")), (SORT_CODE, "[SORT-CODE]"),
-    (LABELLED, _labelled), (EMAIL, r"[USER]@\1"), (PHONE, "[PHONE]"), (DIGITS, "[NUMBER]"),
+    (URL, _site, re.compile("://")), (ETH, "[WALLET]", re.compile("0x")), (BTC, "[WALLET]", _DIGIT), (IBAN, _number("[IBAN]"), _DIGIT),
+    (CARD, _number("[CARD-NUMBER]"), _DIGIT), (SORT_CODE, "[SORT-CODE]", _DIGIT), (LABELLED, _labelled, re.compile("")),
+    (EMAIL, r"[USER]@\1", re.compile("@")), (PHONE, "[PHONE]", _DIGIT), (DIGITS, "[NUMBER]", _DIGIT),
 )
 
 
@@ -69,8 +73,9 @@ def redact(text: str | None, own: str | None = None) -> str:
     out = plain(text)
     if own:
         out = out.replace(own, "[YOUR-ADDRESS]")
-    for pattern, put in STEPS:
-        out = pattern.sub(put, out)
+    for pattern, put, mark in STEPS:
+        if mark.search(out):
+            out = pattern.sub(put, out)
     return out
 
 

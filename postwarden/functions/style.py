@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import math
 import re
-import statistics
 from collections import Counter
 
 import pandas as pd
@@ -28,25 +28,33 @@ def own_words(body: str | None) -> str:
     return "\n".join(kept)
 
 
+def _digits(text: str) -> int:
+    return sum(map(text.count, "0123456789")) if text.isascii() else sum(map(str.isdigit, text))
+
+
 def vector(body: str | None) -> list[float]:
     """STYLE_SCALARS, then the share of each of FUNCTION_WORDS."""
-    text = re.sub(r"https?://\S+", " ", own_words(body))
+    return _vector(own_words(body))
+
+
+def _vector(own: str) -> list[float]:
+    text = re.sub(r"https?://\S+", " ", own)
     words = _WORD.findall(text)
-    low = [w.lower() for w in words]
+    forms, seen = Counter(words), Counter(map(str.lower, words))
     n, sentences = max(1, len(words)), [s for s in _ENDS.split(text) if s.strip()]
     lengths = [len(_WORD.findall(s)) for s in sentences] or [0]
+    k, total = len(lengths), sum(lengths)
     lines = [x for x in text.splitlines() if x.strip()]
     per_word = lambda *marks: sum(map(text.count, marks)) / n
     scalars = {
-        "avg_sentence_len": statistics.fmean(lengths), "sentence_len_sd": statistics.pstdev(lengths), "avg_word_len": sum(map(len, words)) / n,
-        "type_token_ratio": len(set(low)) / n, "comma_rate": per_word(","), "period_rate": per_word("."), "exclaim_rate": per_word("!"),
+        "avg_sentence_len": total / k, "sentence_len_sd": math.sqrt(k * sum(x * x for x in lengths) - total * total) / k, "avg_word_len": sum(map(len, words)) / n,
+        "type_token_ratio": len(seen) / n, "comma_rate": per_word(","), "period_rate": per_word("."), "exclaim_rate": per_word("!"),
         "question_rate": per_word("?"), "semicolon_rate": per_word(";"), "dash_rate": per_word(" - ", "--", "—"), "ellipsis_rate": per_word("..."),
-        "apostrophe_rate": per_word("'"), "uppercase_word_rate": sum(len(w) > 1 and w.isupper() for w in words) / n,
-        "lowercase_start_rate": sum(s.strip()[0].islower() for s in sentences) / max(1, len(sentences)), "contraction_rate": sum("'" in w for w in words) / n,
-        "emoji_rate": len(_EMOJI.findall(text)) / n, "digit_rate": sum(map(str.isdigit, text)) / max(1, len(text)), "paragraph_rate": text.count("\n\n") / max(1, len(lines)),
-        "line_len_mean": statistics.fmean(map(len, lines)) if lines else 0.0, "double_space_rate": per_word("  "),
+        "apostrophe_rate": per_word("'"), "uppercase_word_rate": sum(k for w, k in forms.items() if len(w) > 1 and w.isupper()) / n,
+        "lowercase_start_rate": sum(s.strip()[0].islower() for s in sentences) / max(1, len(sentences)), "contraction_rate": sum(k for w, k in forms.items() if "'" in w) / n,
+        "emoji_rate": (0 if text.isascii() else len(_EMOJI.findall(text))) / n, "digit_rate": _digits(text) / max(1, len(text)), "paragraph_rate": text.count("\n\n") / max(1, len(lines)),
+        "line_len_mean": sum(map(len, lines)) / max(1, len(lines)), "double_space_rate": per_word("  "),
     }
-    seen = Counter(low)
     return [float(scalars[k]) for k in STYLE_SCALARS] + [seen[w] / n for w in FUNCTION_WORDS]
 
 
@@ -55,13 +63,21 @@ def _letters(text: str) -> str:
 
 
 def greeting(body: str | None) -> str:
-    line = next((x for x in own_words(body).splitlines() if x.strip()), "")
+    return _greeting(own_words(body))
+
+
+def _greeting(own: str) -> str:
+    line = next((x for x in own.splitlines() if x.strip()), "")
     found = _GREETING.match(line)
     return _letters(found[1]) if found else ""
 
 
 def signoff(body: str | None) -> str:
-    lines = [x for x in own_words(body).splitlines() if x.strip()]
+    return _signoff(own_words(body))
+
+
+def _signoff(own: str) -> str:
+    lines = [x for x in own.splitlines() if x.strip()]
     return next((_letters(m[1]) for x in lines[:-5:-1] if (m := _SIGNOFF.match(x))), "")
 
 
@@ -73,7 +89,7 @@ def style(body: Column | str) -> Column:
 
     @F.pandas_udf(STYLE)
     def run(x: pd.Series) -> pd.DataFrame:
-        rows = [(len(_WORD.findall(own_words(b))), vector(b), greeting(b), signoff(b)) for b in x]
+        rows = [(len(_WORD.findall(own)), _vector(own), _greeting(own), _signoff(own)) for own in map(own_words, x)]
         return pd.DataFrame(rows, columns=["words", "vector", "greeting", "signoff"])
 
     return run(body)

@@ -1,11 +1,13 @@
 """Mail from bytes to verdicts: parsing, rules, profiles, fusion, synthetic attacks."""
 
 import datetime as dt
+import ipaddress
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from postwarden.functions import domains, mail, markup, redaction, style
+from postwarden.functions import domains, links, mail, markup, redaction, style
 from postwarden.operators import contacts as G
 from postwarden.operators import findings as FI
 from postwarden.operators import profiles as P
@@ -248,3 +250,33 @@ def test_pictures_are_read_in_the_whole_plan(spark, box, monkeypatch):
     monkeypatch.setattr(E, "payloads_of", lambda c: F.when(F.col(c).isNotNull(), F.array(F.lit("http://203.0.113.5/x"))))
     found = codes(E.analyze(E.messages(raw), box["people"], box["accounts"], raw=raw).first())
     assert {"QR_CODE_URL", "URL_IP_HOST"} <= set(found) and "QR_UNSCANNED_IMAGE" not in found
+
+
+def test_ip_hosts(spark):
+    """Hosts of colons and hex digits are addresses exactly where the standard library reads them as such."""
+    rng = random.Random(6)
+    groups = ["1", "ab", "ffff", "0", "", "12345", "192.0.2.1", "300.1.1.1", "g"]
+    made = {":".join(rng.choices(groups, [6, 4, 4, 4, 3, 0.5, 1, 0.5, 0.3], k=rng.randint(2, 10))) for _ in range(3000)}
+    hosts = sorted(made | {"::", ":::", "::1", "1::2::3", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8:9", "::ffff:192.0.2.1", "a.example", ""})
+
+    def valid(host: str) -> bool:
+        try:
+            return bool(ipaddress.ip_address(host))
+        except ValueError:
+            return False
+
+    rows = spark.createDataFrame([(h,) for h in hosts], "h string").select("h", links.is_ip(F.col("h")).alias("ip")).collect()
+    assert {r.h for r in rows if r.ip} == {h for h in hosts if valid(h)}
+
+
+def test_redaction_searches_only_where_it_can_match():
+    """A step's mark stands in every match of it: leaving the check out changes nothing."""
+    rng = random.Random(7)
+    parts = ["https://u@h.example/a/b/c", "0x" + "aF" * 20, "bc1" + "q" * 30, "GB29 NWBK 6016 1331", "4111 1111 1111 1111", "20-30-40", "account no: ABCDE9", "swift ABCDEFGH",
+             "me@x.example", "+44 20 7946 0000", "1234567", "\u0663\u0664\u0665\u0666\u0667\u0668", "plain words", "a:b;c:d;e:f;", "<p>", ","]
+    for _ in range(500):
+        text = " ".join(rng.choices(parts, k=rng.randint(0, 5)))
+        slow = " ".join(redaction.CSS.sub(" ", redaction.MARKUP.sub(" ", text)).split())
+        for pattern, put, _ in redaction.STEPS:
+            slow = pattern.sub(put, slow)
+        assert redaction.redact(text) == slow
