@@ -351,6 +351,48 @@ def test_neighbours_of_any_scale_and_length(spark):
         assert [r["vec_id"] for r in mine] == want and [r["score"] for r in mine] == pytest.approx([s[i - offset] for i in want], abs=1e-12)
 
 
+def test_neighbours_pass_no_copies_through_the_driver(spark, monkeypatch):
+    """Nothing is broadcast, however small the estimate; several shares of several chunks give the rows of brute force, ties and repeated ids included."""
+    v = np.random.default_rng(4).standard_normal((400, 12))
+    v[100:140] = v[50]
+    rows = [(k, x.tolist()) for k, x in enumerate(v)] + [(50, v[3].tolist()), (7, v[50].tolist())]
+    monkeypatch.setattr(ann, "SHARE", 8000, raising=False)
+    found = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(9), F.col("id") % 50 == 0, k=6)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    ids, every = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    unit = every / np.linalg.norm(every, axis=1, keepdims=True)
+    want = []
+    for q in np.flatnonzero(ids % 50 == 0):
+        s = np.round(unit @ unit[q], 12)
+        want += [(int(ids[q]), rank, int(ids[i])) for rank, i in enumerate((i for i in np.lexsort((ids, -s)) if ids[i] != ids[q]), 1) if rank <= 6]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in found.collect()) == sorted(want)
+
+
+def test_shares_of_an_index():
+    """One a partition where there are chunks enough, and no more vectors in one than a task can hold."""
+    vectors = 20_000_000
+    assert [ann.shares_for(n, n * 512, 200) for n in (0, 1, 50_000)] == [1, 1, 13]
+    assert ann.shares_for(1_000_000, 512_000_000, 200) == 200 and vectors * 512 / ann.shares_for(vectors, vectors * 512, 12) <= ann.SHARE
+
+
+def test_a_share_is_searched_as_by_brute_force():
+    """Bars carried from chunk to chunk bar nothing that belongs to the k best."""
+    rng = np.random.default_rng(6)
+    v = np.repeat(rng.standard_normal((90, 24)), 10, axis=0) + 0.2 * rng.standard_normal((900, 24))
+    v[300:330] = v[0]
+    ids = rng.permutation(900)
+    turned = v @ ann.rotation(24).T
+    turned /= np.linalg.norm(turned, axis=1, keepdims=True)
+    codes, f = np.packbits(turned > 0, axis=1), np.abs(turned).sum(axis=1) / np.sqrt(24)
+    chunks = [ann.held_chunk(ids[i : i + n], v[i : i + n], codes[i : i + n], f[i : i + n]) for i, n in ((0, 3), (3, 200), (203, 1), (204, 696))]
+    of, near, scores = ann.search_chunks(ids[:40], v[:40], chunks, 5)
+    norms = np.sqrt(ann.in_order(v, v))
+    for q in range(40):
+        s = np.where(ids == ids[q], -2, ann.in_order(v, v[q : q + 1]) / (norms * norms[q]))
+        best = np.lexsort((ids, -s))[:5]
+        assert near[of == q].tolist() == ids[best].tolist() and scores[of == q].tolist() == s[best].tolist()
+
+
 @pytest.mark.parametrize("rows, target", [([(1, 40)] * 50, 1531), ([(1, 40)] * 50, 4591), ([(1, 40)] * 50 + [(2, 7)] * 9, 2050), ([(None, 10)] * 30 + [(3, 1000)], 95)])
 def test_mix_takes_repeated_rows_one_by_one(spark, rows, target):
     """Rows of one document are taken in any number, evenly, and the gap is smaller than the smallest document."""
