@@ -1,4 +1,4 @@
-"""Redaction is made by pieces: memory does not grow with a batch, rows stay in order."""
+"""Redaction and pages are made by pieces: memory does not grow with a batch, rows stay in order."""
 
 import tracemalloc
 
@@ -6,9 +6,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from postwarden.functions import pieces, redaction
+from postwarden.functions import markup, pieces, redaction
 
 WORDS = "call +44 20 7946 0000 or write to me@x.example, see https://x.example/a/b/c?d=1 "
+PAGES = '<p>some text</p><a href="https://x.example/a">a link</a><img src="x.png"> '
 
 
 @pytest.fixture
@@ -47,3 +48,16 @@ def test_redaction_by_pieces_is_that_of_each_row(spark):
 def test_pieces_end_by_rows_or_characters():
     batches = [(pa.array(["x"] * 1200),), (pa.array([], pa.string()),), (pa.array(["y" * pieces.MOST_CHARS, None, "z"]),)]
     assert [len(x) for x in pieces.results(iter(batches), str, pa.string())] == [500, 500, 200, 1, 2]
+
+
+def test_pages_hold_a_piece_of_a_batch(spark, made):
+    markup.page("html")
+    rows, mb = peak(made[0], pa.array([f"{k} {PAGES * 20}" for k in range(700)]))
+    assert rows == 700 and mb < 5
+
+
+def test_pages_by_pieces_are_those_of_each_row(spark):
+    html = [None if k % 11 == 0 else "" if k % 7 == 0 else f"<h1>{k}</h1>{PAGES}" * (4000 if k == 500 else k % 5) for k in range(1300)]
+    rows = spark.createDataFrame([*enumerate(html)], "k int, html string").coalesce(1)
+    found = rows.select("k", markup.page("html").alias("p")).orderBy("k").collect()
+    assert [r.p.asDict(recursive=True) for r in found] == [markup.read(h) for h in html]
